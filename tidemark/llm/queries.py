@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.garbled import find_garbled
 from tidemark.llm.leaks import find_leaks
 from tidemark.llm.tokens import encode_texts
 
@@ -30,5 +31,15 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[p : p + 24], ' ') AS k FROM (S
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (k)
 """
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a passage that was decoded with the wrong encoding."""
+    return p8_restored(spark, sf_dir).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with the original text where it can be restored."""
+    return find_garbled(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL = {"p7_found": P7_SQL}
