@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import pipeline
+from tidemark.queries import pipeline, relational
 
-MODULES = [pipeline]
+MODULES = [relational, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
