@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import pipeline, relational
+from tidemark.queries import pipeline, relational, stateful
 
-MODULES = [relational, pipeline]
+MODULES = [relational, stateful, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
