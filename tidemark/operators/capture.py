@@ -30,8 +30,7 @@ class Capture:
 
     partition and offset are the columns that identify a record (deliveries of one record share them), arrival is a
     unique, rising number of each delivery. Rows whose offset is null are no records and are skipped; a null
-    partition is a partition of its own. The log may be empty, and may have any further columns but
-    _batch, _from, _until and _p.
+    partition is a partition of its own. The log may be empty, and may have any further columns; they are kept.
     """
 
     def __init__(self, spark: SparkSession, state: str, partition: str, offset: str, arrival: str):
@@ -90,30 +89,32 @@ class Capture:
         offset): with it, records at or below the position that are not acknowledged are taken too.
         """
         plan = json.loads(self.store.read_text(f"{self.state}/plans/{n}.json"))
-        ranges = self.spark.read.parquet(f"{self.state}/plans/{n}")
-        ranges = ranges.select(F.col(self.partition).alias("_p"), "_from", "_until")
-        p, o, a = F.col(self.partition), F.col(self.offset), F.col(self.arrival)
-        rows = log.where(o.isNotNull() & (a <= plan["until"]))
+        ranges = self.spark.read.parquet(f"{self.state}/plans/{n}").select(F.col(self.partition).alias("q"), F.col("_from").alias("low"), F.col("_until").alias("high"))
+        names = log.columns
+        place = {name: f"c{i}" for i, name in enumerate(names)}
+        rows = log.toDF(*place.values())
+        p, o, a = (F.col(place[c]) for c in (self.partition, self.offset, self.arrival))
+        rows = rows.where(o.isNotNull() & (a <= plan["until"]))
         if plan["since"] is not None:
             rows = rows.where(a > plan["since"])
-        # One row for each record before the joins: a hot partition has many offsets but no offset many rows.
-        marked = rows.withColumn("_key", F.struct(p.alias("p")))
-        one = deduplicate(marked.withColumn("_key", F.xxhash64("_key")).withColumn("_null", p.isNull()), ["_null", "_key", self.offset], [self.arrival])
-        one = one.drop("_key", "_null")
+        # One row for each record before the joins: a hot partition has many offsets but no offset many rows. A null
+        # partition is one like others, so the records are told apart by a hash beside a mark for null.
+        marked = rows.withColumns({"hash": F.coalesce(F.xxhash64(p), F.lit(0)), "null": p.isNull(), "text": F.coalesce(p.cast("string"), F.lit(""))})
+        one = deduplicate(marked, ["null", "hash", "text", place[self.offset]], [place[self.arrival]]).drop("hash", "null", "text")
         # The plan has one row for each partition; past the size bound the join shuffles and skewed parts are split.
-        taken = one.join(broadcast_if_small(ranges), p.eqNullSafe(F.col("_p")) & (o <= F.col("_until")))
+        taken = one.join(broadcast_if_small(ranges), p.eqNullSafe(F.col("q")) & (o <= F.col("high"))).drop("q", "high")
+        above = F.col("low").isNull() | (o > F.col("low"))
         if acknowledged is not None:
-            acks = acknowledged.select(F.col(self.partition).alias("_p2"), F.col(self.offset).alias("_o2")).distinct()
-            acks = acks.withColumn("_acked", F.lit(True))
-            taken = taken.join(acks, p.eqNullSafe(F.col("_p2")) & (o == F.col("_o2")), "left").drop("_p2", "_o2")
-            taken = taken.where("_acked IS NULL OR _from IS NULL").unionByName(taken.where("_acked AND _from IS NOT NULL").where(o > F.col("_from"))).drop("_acked")
+            acks = acknowledged.select(F.col(self.partition).alias("ap"), F.col(self.offset).alias("ao"), F.lit(True).alias("acked")).distinct()
+            taken = taken.join(acks, p.eqNullSafe(F.col("ap")) & (o == F.col("ao")), "left").drop("ap", "ao")
+            taken = taken.where(above | F.col("acked").isNull())
         else:
-            taken = taken.where(F.col("_from").isNull() | (o > F.col("_from")))
-        taken = taken.select(*log.columns)
+            taken = taken.where(above)
+        taken = taken.select(*place.values())
         if acknowledged is None and (have := self.sink([k for k in self._numbers("commits") if k < n])) is not None:
-            have = have.select(F.col(self.partition).alias("_p"), F.col(self.offset).alias("_o"))
-            taken = taken.join(have, p.eqNullSafe(F.col("_p")) & (o == F.col("_o")), "left_anti")
-        taken.write.mode("overwrite").parquet(f"{self.state}/sink/batch={n}")
+            have = have.select(F.col(self.partition).alias("sp"), F.col(self.offset).alias("so"))
+            taken = taken.join(have, p.eqNullSafe(F.col("sp")) & (o == F.col("so")), "left_anti")
+        taken.toDF(*names).write.mode("overwrite").parquet(f"{self.state}/sink/batch={n}")
 
     def commit(self, n: int) -> None:
         self.store.put_if_absent(f"{self.state}/commits/{n}.json", json.dumps({"batch": n}))

@@ -47,20 +47,24 @@ def resolve_tables(rows: DataFrame, address: str, tables: DataFrame, stores: Dat
 
     A relative address is looked up by its path; if rows have a column store, in that store only.
     """
-    roots = table_roots(tables, stores).withColumn("_store_root", F.array_join(F.concat(F.array("root"), F.slice("segments", F.lit(1), F.size("segments") - F.size("own"))), "\u0001"))
-    absolute = roots.select("path", F.array_join(F.concat(F.array("root"), F.col("segments")), "\u0001").alias("_key"))
+    names = rows.columns
+    place = {n: f"c{i}" for i, n in enumerate(names)}
+    rows = rows.toDF(*place.values())
+    at, join = F.col(place[address]), lambda *c: F.array_join(F.concat(*c), "\u0001")
+    roots = table_roots(tables, stores)
+    known = roots.select("path", join(F.array("root"), F.col("segments")).alias("key"))
     if store is None:
-        relative = roots.select("path", F.array_join("own", "\u0001").alias("_key"))
-        key = F.array_join(address_segments(F.col(address)), "\u0001")
+        known = known.unionByName(roots.select("path", join(F.col("own")).alias("key")))
+        relative = join(address_segments(at))
     else:
-        s = stores.select(F.col("name").alias("_name"), F.array_join(F.concat(F.array(address_root(F.col("location"))), address_segments(F.col("location"))), "\u0001").alias("_at")).distinct()
-        rows = rows.join(broadcast_if_small(s), F.coalesce(F.col(store), F.lit("default")) == F.col("_name"), "left").drop("_name")
-        relative = None
-        key = F.concat_ws("\u0001", "_at", F.array_join(address_segments(F.col(address)), "\u0001"))
-    whole = F.array_join(F.concat(F.array(address_root(F.col(address))), address_segments(F.col(address))), "\u0001")
-    rows = rows.withColumn("_k", F.when(address_root(F.col(address)).isNotNull(), whole).otherwise(key)).drop("_at")
-    known = (absolute if relative is None else absolute.unionByName(relative)).groupBy("_key").agg(F.min("path").alias("table_path"))
-    return rows.join(broadcast_if_small(known), F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+        s = stores.select(F.col("name").alias("store_name"), join(F.array(address_root(F.col("location"))), address_segments(F.col("location"))).alias("base")).distinct()
+        rows = rows.join(broadcast_if_small(s), F.coalesce(F.col(place[store]), F.lit("default")) == F.col("store_name"), "left")
+        relative = F.concat_ws("\u0001", "base", join(address_segments(at)))
+    whole = join(F.array(address_root(at)), address_segments(at))
+    rows = rows.withColumn("named", F.when(address_root(at).isNotNull(), whole).otherwise(relative))
+    known = known.groupBy("key").agg(F.min("path").alias("table_path"))
+    found = rows.join(broadcast_if_small(known), F.col("named") == F.col("key"), "left")
+    return found.select(*place.values(), "table_path").toDF(*names, "table_path")
 
 
 def inventory(entries: DataFrame, tables: DataFrame, stores: DataFrame) -> DataFrame:
@@ -118,19 +122,22 @@ def plan_groups(files: DataFrame, keys: list[str], size: str, order: str, target
     list. Each shard has ceil(bytes / target) groups, one at least; a null size counts as 0. order must be unique
     within keys and decides ties. No files give an empty plan.
     """
-    counts = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("_files"))
-    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_files") / shard_files).cast("int").alias("_shards"))
-    sharded = files.join(broadcast_if_small(counts), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    sharded = sharded.withColumn("shard", F.expr(f"pmod(xxhash64(`{order}`), _shards)").cast("int")).select(*files.columns, "shard")
+    names = files.columns
+    place = {n: f"c{i}" for i, n in enumerate(names)}
+    rows, by = files.toDF(*place.values()), [place[k] for k in keys]
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(*[F.col(k).alias(f"k_{k}") for k in by], F.ceil(F.col("n") / shard_files).cast("int").alias("shards"))
+    sharded = rows.join(broadcast_if_small(counts), [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in by])
+    sharded = sharded.withColumn("shard", F.expr(f"pmod(xxhash64({place[order]}), shards)").cast("int")).select(*rows.columns, "shard")
     schema = StructType(sharded.schema.fields + [StructField("group_no", IntegerType())])
 
     def assign(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        sizes = [n or 0 for n in t.column(size).to_pylist()]
+        t = t.sort_by(place[order])
+        sizes = [n or 0 for n in t.column(place[size]).to_pylist()]
         n = max(1, -(-sum(sizes) // target))
         return t.append_column("group_no", pa.array(schedule(sizes, n), pa.int32()))
 
-    return sharded.groupBy(*keys, "shard").applyInArrow(assign, schema)
+    return sharded.groupBy(*by, "shard").applyInArrow(assign, schema).toDF(*names, "shard", "group_no")
 
 
 def merge_files(paths: list[str], out: str) -> tuple[int, int]:

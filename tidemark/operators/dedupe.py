@@ -10,7 +10,7 @@ from tidemark.operators.scale import SALTS, hot_keys
 
 
 def split_copies(messages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """messages with a column _copy: 0 for the one copy that stays, else positive.
+    """messages with a last column _copy: 0 for the one copy that stays, else positive.
 
     The identifiers' frequencies are aggregated first (with map-side combine). Rows of singletons pass; only rows of
     repeated identifiers are ranked. An identifier with more than HOT_SHARE of all rows is ranked in SALTS parts,
@@ -18,31 +18,35 @@ def split_copies(messages: DataFrame, keys: list[str], order: list[str]) -> Data
 
     Copies are ordered by order, smallest first, nulls last; full ties are broken arbitrarily, one row stays.
     A null in any key means that the row has no identifier: it is no copy of anything, and stays.
-    An empty table gives an empty table. messages may have any other columns but none named _copy, _n, _salt, _hot.
+    An empty table gives an empty table. Any other columns are kept, whatever their names.
     """
+    names = messages.columns
+    place = {n: f"c{i}" for i, n in enumerate(names)}
+    rows = messages.toDF(*place.values()) if len(place) == len(names) else messages.toDF(*[f"c{i}" for i in range(len(names))])
+    k, o = [place[n] for n in keys], [place[n] for n in order]
     known = F.lit(True)
-    for k in keys:
-        known &= F.col(k).isNotNull()
-    counts = messages.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(hot_keys(counts, "_n").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")))
-    spread = F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in order)}), {SALTS})").cast("int")
-    rows = messages.where(known).join(hot, [F.col(k) == F.col(f"_h_{k}") for k in keys], "left").drop(*[f"_h_{k}" for k in keys])
-    rows = rows.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
-    # A repeated identifier is looked up by (keys, _salt); a hot one is there once for each salt, all others once.
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = counts.where("_n > 1").join(hot, [F.col(k) == F.col(f"_h_{k}") for k in keys], "left")
-    repeated = repeated.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_n", F.explode(salts).alias("_r_salt"))
-    marked = rows.join(repeated, [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_salt") == F.col("_r_salt")], "left")
-    marked = marked.drop("_r_salt", *[f"_r_{k}" for k in keys])
-
-    by = [F.col(c).asc_nulls_last() for c in order]
-    single = marked.where("_n IS NULL").withColumn("_copy", F.lit(0))
-    ranked = marked.where("_n IS NOT NULL").withColumn("_copy", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*by)) - 1)
-    later = ranked.where("_copy > 0")
-    first = ranked.where("_copy = 0").withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) - 1)
-    out = [*messages.columns, "_copy"]
+    for c in k:
+        known &= F.col(c).isNotNull()
+    counts = rows.where(known).groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(counts, "n").select(*[F.col(c).alias(f"h_{c}") for c in k], F.lit(True).alias("hot")))
+    spread = F.expr(f"pmod(xxhash64({', '.join(o)}), {SALTS})").cast("int")
+    salted = rows.where(known).join(hot, [F.col(c) == F.col(f"h_{c}") for c in k], "left").drop(*[f"h_{c}" for c in k])
+    salted = salted.withColumn("salt", F.when(F.col("hot"), spread).otherwise(F.lit(0))).drop("hot")
+    # A repeated identifier is looked up by (keys, salt); a hot one is there once for each salt, all others once.
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = counts.where("n > 1").join(hot, [F.col(c) == F.col(f"h_{c}") for c in k], "left")
+    repeated = repeated.select(*[F.col(c).alias(f"r_{c}") for c in k], "n", F.explode(salts).alias("r_salt"))
+    marked = salted.join(repeated, [F.col(c) == F.col(f"r_{c}") for c in k] + [F.col("salt") == F.col("r_salt")], "left")
+    marked = marked.drop("r_salt", *[f"r_{c}" for c in k])
+
+    by = [F.col(c).asc_nulls_last() for c in o]
+    single = marked.where("n IS NULL").withColumn("copy", F.lit(0))
+    ranked = marked.where("n IS NOT NULL").withColumn("copy", F.row_number().over(Window.partitionBy(*k, "salt").orderBy(*by)) - 1)
+    later = ranked.where("copy > 0")
+    first = ranked.where("copy = 0").withColumn("copy", F.row_number().over(Window.partitionBy(*k).orderBy(*by)) - 1)
+    out = [*rows.columns, "copy"]
     kept = single.select(*out).unionByName(later.select(*out)).unionByName(first.select(*out))
-    return kept.unionByName(messages.where(~known).withColumn("_copy", F.lit(0)).select(*out))
+    return kept.unionByName(rows.where(~known).withColumn("copy", F.lit(0)).select(*out)).toDF(*names, "_copy")
 
 
 def deduplicate(new: DataFrame, keys: list[str], order: list[str], stored: DataFrame | None = None) -> DataFrame:
@@ -51,9 +55,13 @@ def deduplicate(new: DataFrame, keys: list[str], order: list[str], stored: DataF
     Without stored: of each identifier the first row of new by order. With stored (same columns, already without
     copies): all stored rows, and the first new row of each identifier that is not stored.
     """
-    if stored is None:
-        return split_copies(new, keys, order).where("_copy = 0").drop("_copy")
-    both = stored.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
-    return split_copies(both, keys, ["_age", *order]).where("_copy = 0").drop("_copy", "_age")
-
-
+    names = new.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    place = dict(zip(names, inner))
+    rows = new.toDF(*inner)
+    if stored is not None:
+        old = stored.select(*[F.col(f"`{n}`") for n in names]).toDF(*inner)
+        rows = old.withColumn("age", F.lit(0)).unionByName(rows.withColumn("age", F.lit(1)))
+    by = [place[c] for c in order]
+    one = split_copies(rows, [place[c] for c in keys], by if stored is None else ["age", *by])
+    return one.where("_copy = 0").select(*inner).toDF(*names)

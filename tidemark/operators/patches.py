@@ -159,7 +159,9 @@ def apply_patches(function: DataFrame, base: DataFrame | None = None) -> DataFra
 
 
 def changes_of_messages(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """old_key, new_key, names and values of rows with cells and column_descriptors (role, name), cell i to descriptor i.
+    """Changes for compose: rows have tab, version, origin, row_no, and cells with column_descriptors (role, name).
+
+    Cell i belongs to descriptor i; a row with null or too few cells has nulls there. Other columns are not read.
 
     keys: name and type of each key column, in order; key cells are brought to one spelling through the type. A key
     is null if all its cells are. A VALUE is set if its column has no CHANGED flag or the flag is true.
@@ -176,6 +178,7 @@ def changes_of_messages(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
 
     off = F.transform(F.filter(z, lambda x: (x["role"] == "CHANGED") & ~F.coalesce(F.lower(x["cell"]) == "true", F.lit(False))), lambda x: x["name"])
     sets = F.filter(z, lambda x: (x["role"] == "VALUE") & ~F.array_contains(F.col("_off"), x["name"]))
+    rows = rows.select("tab", "version", "origin", "row_no", "column_descriptors", "cells")
     out = rows.withColumn("_cells", cells).withColumn("_off", off).withColumn("_sets", sets)
     out = out.withColumn("old_key", key("OLD_PK")).withColumn("new_key", key("NEW_PK"))
     return out.withColumns({"names": F.transform("_sets", lambda x: x["name"]), "values": F.transform("_sets", lambda x: x["cell"])}).drop("_cells", "_off", "_sets")
