@@ -143,8 +143,8 @@ def plan_groups(files: DataFrame, keys: list[str], size: str, order: str, target
 def merge_files(paths: list[str], out: str) -> tuple[int, int]:
     """Stream Parquet files, batch by batch, into one at out; rows read, rows written (as the new footer says).
 
-    Files whose columns differ get the first file's columns; missing ones are null, a type that can't be cast is an
-    error. Empty files add nothing.
+    Files whose columns differ get all of them, in the wider type; missing ones are null, types that have no wider one
+    are an error. Empty files add nothing.
     """
     import pyarrow.dataset as ds
     import pyarrow.parquet as pq
@@ -154,16 +154,12 @@ def merge_files(paths: list[str], out: str) -> tuple[int, int]:
         return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
     system, target = at(out)
-    schema, read = None, 0
-    aside = f"{target}.{uuid.uuid4().hex}.tmp"
-    writer = None
-    for path in paths:
-        f, name = at(path)
-        source = ds.dataset(name, filesystem=f, format="parquet", schema=schema)
-        if schema is None:
-            schema = source.schema
-            writer = pq.ParquetWriter(aside, schema, filesystem=system, compression="zstd")
-        for batch in source.to_batches(batch_size=65_536):
+    sources = [at(p) for p in paths]
+    schema = pa.unify_schemas([pq.read_schema(name, filesystem=f) for f, name in sources], promote_options="permissive")
+    read, aside = 0, f"{target}.{uuid.uuid4().hex}.tmp"
+    writer = pq.ParquetWriter(aside, schema, filesystem=system, compression="zstd")
+    for f, name in sources:
+        for batch in ds.dataset(name, filesystem=f, format="parquet", schema=schema).to_batches(batch_size=65_536):
             read += batch.num_rows
             writer.write_batch(batch)
     writer.close()
