@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, spread
 
 # Names of encodings. Pairs (written, read); 'cp1252' as what text was read with also stands for latin-1.
 UTF8_READ_AS = ["cp1252", "cp1250", "cp1251", "cp1253", "koi8-r", "mac-roman", "cp437", "cp850", "cp866"]
@@ -393,7 +393,7 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text")
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
     foreign = documents.where(F.length(text) != F.octet_length(text)).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    foreign = materialize(foreign, "foreign")
+    foreign = spread(materialize(spread(foreign), "foreign"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

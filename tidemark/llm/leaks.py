@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 #: Words of a window: this many consecutive words of an item make a leak.
 WINDOW = 25
 #: Sampled coordinates of a key.
@@ -44,10 +46,10 @@ def words_of(text: str | None) -> list[str]:
 
 
 def repetitions(size: int, samples: int, max_edits: int, recall: float) -> int:
-    """Keys that a window needs. A CGK walk of 3 n steps differs in O(k^2) places for k edits; half of 4 k^2 is taken."""
+    """Keys that a window needs. CGK walks of 3 n steps differ in O(k^2) places for k edits; 8 k^2 is taken, as walks part for long now and then."""
     if max_edits == 0:
         return 1
-    agree = max(0.05, 1 - 2 * max_edits**2 / (3 * size)) ** samples
+    agree = max(0.05, 1 - 8 * max_edits**2 / (3 * size)) ** samples
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
@@ -199,7 +201,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item
     so the result is made distinct. Columns other than those named are not read.
     """
     spark = documents.sparkSession
-    out = None
+    out, searched = None, spread(documents.select(doc, text))
     for block in item_blocks(items, item, text):
         index = spark.sparkContext.broadcast(ItemIndex(block, size, max_edits=max_edits, recall=recall))
 
@@ -208,7 +210,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item
                 docs, found = index.value.find(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())).cast(pa.int64()), pa.array(found, pa.int64())], [doc, item])
 
-        part = documents.select(doc, text).mapInArrow(work, f"`{doc}` bigint, `{item}` bigint")
+        part = searched.mapInArrow(work, f"`{doc}` bigint, `{item}` bigint")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"`{doc}` bigint, `{item}` bigint")

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 #: Where the public tokenizer's file lies on every executor; a parameter, the file is not part of the library.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: A worker keeps the encodings of at most so many distinct words and then starts afresh.
@@ -231,4 +233,4 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(kind), part], [key, "ids"])
                 i = j
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
