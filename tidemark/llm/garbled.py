@@ -160,7 +160,7 @@ class CleanModel:
         return np.log((n + BACKOFF * self.single[cp]) / (self.context[ctx] + BACKOFF))
 
 
-def spread(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def foreign_characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points, place in the joined texts, text number) of all non-ASCII characters and the ones beside them."""
     joined = "\n".join(texts) + "\n"
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
@@ -185,7 +185,7 @@ def _neighbours(cls: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of the texts' non-ASCII characters, for CleanModel."""
-    c, at, _ = spread(texts)
+    c, at, _ = foreign_characters(texts)
     before, after = _neighbours(_tables()[0][c], at)
     high = c > 0x7F
     key = ((before[high].astype(np.int64) * _CLASSES + after[high]) << 21) | c[high]
@@ -249,7 +249,7 @@ class Labeller:
 
     def emissions(self, texts: list[str]):
         """(E: state x character, code points, place, text number, high, restored: state -> (cp, continues), stretches)."""
-        c, at, doc = spread(texts)
+        c, at, doc = foreign_characters(texts)
         high = c > 0x7F
         E = np.full((1 + len(PAIRS), len(c)), IMPOSSIBLE, np.float32)
         before, after = _neighbours(self.cls[c], at)
