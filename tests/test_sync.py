@@ -112,6 +112,20 @@ def test_flush_triggers(book):
     assert book.durable == {"A": 9}
 
 
+def test_a_timer_writes_out_old_messages(book):
+    book.put("T", None, [], "A", 1, rows=1)
+    assert book.tick() == 0
+    book.max_lag_s = 0
+    stop = book.run_in_background(0.01)
+    import time
+
+    until = time.time() + 5
+    while book.items and time.time() < until:
+        time.sleep(0.01)
+    stop.set()
+    assert book.durable == {"A": 1}
+
+
 def test_a_busy_writer_refuses(book, monkeypatch):
     monkeypatch.setattr(sync, "LOCK_S", 0.01)
     book.lock.acquire()

@@ -170,6 +170,18 @@ def _(spark, sf_dir):
     return e.with_metastore({"given.r": {"location": e.table("t").path, "format": "DELTA"}}).sql("SELECT count(*) AS n FROM given.r")
 
 
+@query("iceberg_append", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 1")
+def _(spark, sf_dir):
+    from tidemark.sources.iceberg import create_table
+
+    e = loaded(spark, sf_dir, "nation")
+    made = create_table(spark, f"{e.root}/ice", spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").schema)
+    c = e.with_metastore({"s.t": {"location": made.path, "format": "ICEBERG"}})
+    c.sql("INSERT INTO s.t SELECT n_nationkey, n_name FROM staging.nation; INSERT INTO s.t SELECT n_nationkey + 100, n_name FROM staging.nation WHERE n_regionkey = 1")
+    c.sql(f"CREATE EXTERNAL TABLE back STORED AS ICEBERG LOCATION '{e.root}/ice/metadata/v3.metadata.json'")
+    return c.sql("SELECT n_nationkey, n_name FROM staging.back")
+
+
 script("system_table_versions", "SELECT 'public' AS table_schema, 't' AS table_name, v::BIGINT AS version FROM range(0, 3) r(v)", f"{_CTAS}; DELETE FROM t WHERE k = 1; SELECT table_schema, table_name, version FROM system.table_versions")
 script("information_schema_columns", "SELECT * FROM (VALUES ('a', 'int', 'YES'), ('b', 'string', 'NO'), ('c', 'decimal(38,10)', 'YES')) t(column_name, data_type, is_nullable)", "CREATE TABLE t (a INT, b TEXT NOT NULL, c NUMERIC); SELECT column_name, data_type, is_nullable FROM information_schema.columns WHERE table_name = 't'")
 

@@ -153,10 +153,9 @@ def read_external(spark: SparkSession, kind: str, location: str, options: dict[s
 
         return VersionedTable(spark, location).scan()
     if kind == "ICEBERG":
-        try:
-            return spark.read.format("iceberg").load(location)
-        except Exception as e:
-            raise SqlError("ICEBERG tables need the Iceberg runtime") from e
+        from tidemark.sources.iceberg import IcebergTable
+
+        return IcebergTable(spark, location).scan()
     raise SqlError(f"Unsupported file type {kind}: expected ARROW, PARQUET, NDJSON, or CSV")
 
 

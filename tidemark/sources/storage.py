@@ -20,16 +20,19 @@ class Storage:
         fs, p = self._at(path)
         return fs.exists(p)
 
-    def read_text(self, path: str) -> str:
+    def read_bytes(self, path: str) -> bytes:
         fs, p = self._at(path)
         stream = fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode("utf-8")
+            return bytes(stream.readAllBytes())
         finally:
             stream.close()
 
-    def put_if_absent(self, path: str, text: str) -> bool:
-        """Create path with this text; False if it exists already."""
+    def read_text(self, path: str) -> str:
+        return self.read_bytes(path).decode("utf-8")
+
+    def put_if_absent(self, path: str, text: str | bytes) -> bool:
+        """Create path with this content; False if it exists already."""
         fs, p = self._at(path)
         fs.mkdirs(p.getParent())
         if fs.exists(p):
@@ -41,7 +44,7 @@ class Storage:
                 return False
             raise
         try:
-            stream.write(bytearray(text.encode("utf-8")))
+            stream.write(bytearray(text.encode("utf-8") if isinstance(text, str) else text))
         finally:
             stream.close()
         return True

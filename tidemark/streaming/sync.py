@@ -186,6 +186,26 @@ class SyncWriter:
             if self.items:
                 self._flush(path or min(self.items, key=lambda p: self.items[p][0].at))
 
+    def tick(self) -> int:
+        """Write out every table that is due; how many there were. For a timer, so that old messages do not wait for new ones."""
+        n = 0
+        with self.lock:
+            while (due := self._due()) is not None:
+                self._flush(due)
+                n += 1
+        return n
+
+    def run_in_background(self, every_s: float = FLUSH_EVERY_S) -> threading.Event:
+        """Call tick at intervals until the event that is returned is set."""
+        stop = threading.Event()
+
+        def loop() -> None:
+            while not stop.wait(every_s):
+                self.tick()
+
+        threading.Thread(target=loop, daemon=True).start()
+        return stop
+
     def flush_all(self) -> None:
         while self.items:
             self.flush()
