@@ -15,6 +15,7 @@ SQL_SETTINGS = {
 }
 
 _fallback: str | None = None
+_made: list[str] = []
 
 
 def get_spark(app: str = "tidemark", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -54,8 +55,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing folder below the shared one."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new, not yet existing folder below the shared one; cleanup deletes it."""
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete all folders that scratch named in this process; how many there were.
+
+    Results of operators read theirs when they are used, so call this when no result is needed any more. It is not done
+    by itself: a driver may end while another reads what it has written.
+    """
+    from tidemark.sources.storage import Storage
+
+    store, n = Storage(spark), 0
+    while _made:
+        n += store.delete(_made.pop())
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:
