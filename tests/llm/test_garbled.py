@@ -90,6 +90,19 @@ def test_utf8_parser():
     assert (garbled.parse_utf8(np.array([0xED, 0xA0, 0x80, 0xC0, 0x80]))[0] == -1).all()
 
 
+def test_long_texts_are_labelled_in_pieces(labeller, monkeypatch):
+    from tidemark.llm.texts import pieces, portions
+
+    texts = corpus(seed=21, n=30)
+    bad = GARBLE["utf-8 as cp1252"]("# schön grün über müde weiß\n")
+    long = "\n".join(texts[:10]) + "\n" + bad + "\n".join(texts[10:20])
+    monkeypatch.setattr(garbled, "PIECE", 300)
+    found = labeller.label_all([long, "", *texts[20:]])
+    assert found[0][0] == long.replace(bad, "# schön grün über müde weiß\n") and found[1:] == [None] * 11
+    assert pieces("ab\ncd ef", 4) == ["ab\n", "cd ", "ef"] and pieces("abcdef", 4) == ["abcd", "ef"] and pieces("", 4) == []
+    assert list(portions(["aa", None, "bbb", "c" * 9, "d"], 4)) == [(0, 2), (2, 3), (3, 4), (4, 5)] and list(portions([])) == []
+
+
 def test_table(spark):
     texts = corpus(n=120)
     bad = GARBLE["utf-8 as cp1252"](texts[0].split("\n")[0]) + "\n" + texts[0]

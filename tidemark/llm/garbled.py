@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.texts import pieces, portions
 from tidemark.session import materialize, spread
 
 # Names of encodings. Pairs (written, read); 'cp1252' as what text was read with also stands for latin-1.
@@ -44,6 +45,9 @@ SWITCH = (-4.5, -8.0, -11.0)
 #: Weight of the class-free model under the one with neighbours, and of the flat model under that.
 BACKOFF, FLAT = 20.0, 50.0
 
+#: Characters whose likelihoods under all states are in memory at once.
+PIECE = 200_000
+
 _CLASSES = 8
 
 
@@ -294,6 +298,21 @@ class Labeller:
         E[:, ~high] = 0
         return E, c, at, doc, high, restored, stretches
 
+    def label_all(self, texts: list[str]) -> list[tuple[str, int, int] | None]:
+        """label for texts of any length and number: long ones in pieces between lines, all in portions."""
+        parts = [pieces(t, PIECE) for t in texts]
+        flat = [p for ps in parts for p in ps]
+        found = [x for i, j in portions(flat, PIECE) for x in self.label(flat[i:j])]
+        out, at = [], 0
+        for ps in parts:
+            mine = found[at : at + len(ps)]
+            at += len(ps)
+            if any(x is not None for x in mine):
+                out.append(("".join(p if x is None else x[0] for p, x in zip(ps, mine)), sum(x[1] for x in mine if x), sum(x[2] for x in mine if x)))
+            else:
+                out.append(None)
+        return out
+
     # -- labels ----------------------------------------------------------------------------------------------------
 
     def _viterbi(self, E: np.ndarray, switch: np.ndarray) -> np.ndarray:
@@ -397,17 +416,19 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, n = counted(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+            texts = b.column(0).to_pylist()
+            for i, j in portions(texts):
+                keys, n = counted(texts[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
     first = spark.sparkContext.broadcast(_model(foreign.select("t").mapInArrow(count, "key bigint, n bigint")))
 
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(first.value)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                texts = b.column(0).slice(i, 500).to_pylist()
-                keys, n = counted([t if found is None else found[0] for t, found in zip(texts, labeller.label(texts))])
+            texts = b.column(0).to_pylist()
+            for i, j in portions(texts):
+                keys, n = counted([t if found is None else found[0] for t, found in zip(texts[i:j], labeller.label_all(texts[i:j]))])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
     second = spark.sparkContext.broadcast(_model(foreign.select("t").mapInArrow(recount, "key bigint, n bigint")))
@@ -415,9 +436,10 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text")
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(second.value)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                found = labeller.label(part.column(1).to_pylist())
+            texts = b.column(1).to_pylist()
+            for i, j in portions(texts):
+                part = b.slice(i, j - i)
+                found = labeller.label_all(texts[i:j])
                 rows = [k for k, x in enumerate(found) if x is not None]
                 cols = list(zip(*(found[k] for k in rows))) or [(), (), ()]
                 kinds = (pa.string(), pa.int32(), pa.int32())

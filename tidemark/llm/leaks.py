@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.texts import portions
 from tidemark.session import spread
 
 #: Words of a window: this many consecutive words of an item make a leak.
@@ -207,7 +208,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                docs, found = index.value.find(b.column(1).to_pylist())
+                texts, docs, found = b.column(1).to_pylist(), [], []
+                for i, j in portions(texts):
+                    d, items_ = index.value.find(texts[i:j])
+                    docs += [i + x for x in d]
+                    found += items_
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())).cast(pa.int64()), pa.array(found, pa.int64())], [doc, item])
 
         part = searched.mapInArrow(work, f"`{doc}` bigint, `{item}` bigint")

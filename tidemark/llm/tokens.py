@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.texts import portions
 from tidemark.session import spread
 
 #: Where the public tokenizer's file lies on every executor; a parameter, the file is not part of the library.
@@ -224,13 +225,10 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for b in batches:
-            ids, offsets = encoder.encode_batch(b.column(1).to_pylist())
-            # One Arrow array of lists holds fewer than 2^31 ids: a batch has 10,000 texts at most, cut where it is needed.
-            i = 0
-            while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 30), "right")) - 1)
-                part = pa.ListArray.from_arrays(pa.array(offsets[i : j + 1] - offsets[i], pa.int32()), pa.array(ids[offsets[i] : offsets[j]], pa.int32()))
+            texts = b.column(1).to_pylist()
+            for i, j in portions(texts):
+                ids, offsets = encoder.encode_batch(texts[i:j])
+                part = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(kind), part], [key, "ids"])
-                i = j
 
     return spread(df.select(F.col(key), F.col(text))).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
