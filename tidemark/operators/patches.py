@@ -90,14 +90,14 @@ def overlay(lower, upper):
 
 
 def _compose_level(entries: DataFrame) -> DataFrame:
-    """Compose chunks 2k and 2k + 1 of each table into chunk k."""
+    """Compose chunks 2k and 2k + 1 of each table into chunk k; width is the number of chunks of the table."""
     entry = F.struct("key", "alive", "src", "patch", "version")
     right = (F.col("chunk") % 2) == 1
     none = F.when(F.lit(False), entry)
     at_key = F.struct(F.col("key").alias("at"), F.when(~right, entry).alias("lower"), right.alias("over"), F.when(right & F.col("src").isNull(), entry).alias("own"), none.alias("moved"))
     at_src = F.struct(F.col("src").alias("at"), none.alias("lower"), F.lit(False).alias("over"), none.alias("own"), entry.alias("moved"))
-    sent = entries.select("tab", F.floor(F.col("chunk") / 2).cast("int").alias("chunk"), F.explode(F.when(right & F.col("src").isNotNull(), F.array(at_key, at_src)).otherwise(F.array(at_key))).alias("s"))
-    met = sent.groupBy("tab", "chunk", F.col("s.at").alias("at")).agg(
+    sent = entries.select("tab", F.ceil(F.col("width") / 2).cast("int").alias("width"), F.floor(F.col("chunk") / 2).cast("int").alias("chunk"), F.explode(F.when(right & F.col("src").isNotNull(), F.array(at_key, at_src)).otherwise(F.array(at_key))).alias("s"))
+    met = sent.groupBy("tab", "width", "chunk", F.col("s.at").alias("at")).agg(
         F.first("s.lower", True).alias("lower"), F.max("s.over").alias("over"), F.first("s.own", True).alias("own"), F.first("s.moved", True).alias("moved")
     )
     low, up = F.col("lower"), F.col("moved")
@@ -109,7 +109,7 @@ def _compose_level(entries: DataFrame) -> DataFrame:
     )
     stays = F.when(low.isNotNull() & ~F.col("over"), low)
     kept = F.array_compact(F.array(stays, F.when(up.isNotNull(), through), F.col("own")))
-    return met.select("tab", "chunk", F.explode(kept).alias("e")).select("tab", "chunk", "e.*")
+    return met.select("tab", "width", "chunk", F.explode(kept).alias("e")).select("tab", "width", "chunk", "e.*")
 
 
 def compose(changes: DataFrame, chunks: int | None = None) -> DataFrame:
@@ -129,16 +129,17 @@ def compose(changes: DataFrame, chunks: int | None = None) -> DataFrame:
     # A table in more than one chunk crosses a border between chunks, so there are fewer of these than chunks.
     spans = folded.groupBy("tab").agg(F.min("chunk").alias("_lo"), F.max("chunk").alias("_hi")).where("_lo < _hi")
     spans = F.broadcast(spans.withColumnRenamed("tab", "_tab"))
-    placed = folded.join(spans, F.col("tab") == F.col("_tab"), "left")
-    whole = placed.where("_tab IS NULL").drop("_tab", "_lo", "_hi").withColumn("chunk", F.lit(0))
-    tree = placed.where("_tab IS NOT NULL").withColumn("chunk", F.col("chunk") - F.col("_lo")).drop("_tab", "_lo", "_hi")
-    level, width = 0, folded.groupBy("tab").agg((F.max("chunk") - F.min("chunk") + 1).alias("w")).agg(F.max("w")).head()[0] or 1
+    placed = folded.join(spans, F.col("tab") == F.col("_tab"), "left").withColumn("width", F.coalesce(F.col("_hi") - F.col("_lo") + 1, F.lit(1)))
+    placed = placed.withColumn("chunk", F.coalesce(F.col("chunk") - F.col("_lo"), F.lit(0))).drop("_tab", "_lo", "_hi")
+    # A table leaves the tree as soon as it is one chunk, so later levels have only the largest tables' entries.
+    done, tree = placed.where("width = 1"), placed.where("width > 1")
+    width = folded.groupBy("tab").agg((F.max("chunk") - F.min("chunk") + 1).alias("w")).agg(F.max("w")).head()[0] or 1
     while width > 1:
-        tree = _compose_level(tree)
-        width, level = -(-width // 2), level + 1
-        if level % 4 == 0 and width > 1:
-            tree = materialize(tree, "tree")
-    return whole.unionByName(tree).drop("chunk")
+        level = materialize(_compose_level(tree), "tree")
+        done = done.unionByName(level.where("width = 1"))
+        tree = level.where("width > 1")
+        width = -(-width // 2)
+    return done.drop("chunk", "width")
 
 
 def apply_patches(function: DataFrame, base: DataFrame | None = None) -> DataFrame:
