@@ -81,6 +81,7 @@ add("regex_match", r"SELECT p_partkey, p_name ~ '^[a-m]' AS a, p_name ~* 'RED' A
 add("similar_to", "SELECT p_partkey FROM part WHERE p_name SIMILAR TO '%(e|a)_%'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_name, '.*(e|a)..*')")
 add("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'small' END AS size, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders")
 add("cast_matrix", "SELECT l_orderkey, l_linenumber, l_linenumber::int8 AS b, CAST(l_quantity AS INT4) AS i, l_linenumber::text AS s, CAST(l_orderkey AS DOUBLE PRECISION) AS d, (l_linenumber > 3)::bool AS t, CAST('12.5' AS FLOAT8) AS f, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_linenumber < 3")
+add("cast_matrix_all", "SELECT l_orderkey, l_linenumber, l_linenumber::int8 AS b, CAST(l_quantity AS INT4) AS i, l_linenumber::text AS s, CAST(l_orderkey AS DOUBLE PRECISION) AS d, (l_linenumber > 3)::bool AS t, CAST('12.5' AS FLOAT8) AS f, CAST(l_shipdate AS DATE) AS day FROM lineitem")
 add("int_division", "SELECT o_orderkey, o_orderkey / 7 AS q, o_orderkey % 7 AS r, 7 / 2 AS c, 7 / 2.0 AS e, (o_custkey + 1) / 2 AS h, -o_custkey AS neg FROM orders",
     "SELECT o_orderkey, o_orderkey // 7 AS q, o_orderkey % 7 AS r, 7 // 2 AS c, 7 / 2.0 AS e, (o_custkey + 1) // 2 AS h, -o_custkey AS neg FROM orders")
 add("bitwise", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS o, o_orderkey # 5 AS x, o_orderstatus || '-' || o_orderpriority AS s FROM orders",
@@ -149,6 +150,8 @@ add("median_percentile", "SELECT l_linestatus, median(l_quantity) AS med FROM li
 add("approx_distinct", "SELECT CAST(approx_distinct(user_id) > 0 AS INT) AS some, abs(approx_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS near FROM events", "SELECT 1 AS some, true AS near")
 add("approx_percentile", "SELECT abs(approx_percentile_cont(l_extendedprice, 0.5) - approx_median(l_extendedprice)) < 1 AS same, approx_median(l_quantity) BETWEEN 24 AND 27 AS mid FROM lineitem", "SELECT true AS same, true AS mid")
 add("array_agg_sorted", "SELECT o_orderpriority, array_agg(o_orderkey ORDER BY o_orderkey) AS orders_ FROM orders WHERE o_orderkey < 500 GROUP BY o_orderpriority")
+# Over all orders; a customer's array stays small, one for each priority would hold a fifth of the table.
+add("array_agg_sorted_all", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_orderkey) AS orders_ FROM orders GROUP BY o_custkey")
 add("string_agg_ordered", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 add("bool_bit_agg", "SELECT o_orderstatus, bool_and(o_totalprice > 1000) AS ba, bool_or(o_totalprice > 300000) AS bo, bit_and(o_custkey) AS xa, bit_or(o_custkey) AS xo, bit_xor(o_custkey) AS xx FROM orders GROUP BY o_orderstatus")
 add("first_last_agg", "SELECT o_custkey, first_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS f, last_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS l FROM orders GROUP BY o_custkey",
