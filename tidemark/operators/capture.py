@@ -86,7 +86,8 @@ class Capture:
         """Write the records of plan n to the sink; safe to repeat.
 
         A record is taken if it is above its partition's position, or there is none. acknowledged (partition,
-        offset): with it, records at or below the position that are not acknowledged are taken too.
+        offset): with it, records at or below the position that are not acknowledged are taken too. What an earlier
+        committed batch of the sink holds is not taken again, also while it waits for its acknowledgement.
         """
         plan = json.loads(self.store.read_text(f"{self.state}/plans/{n}.json"))
         ranges = self.spark.read.parquet(f"{self.state}/plans/{n}").select(F.col(self.partition).alias("q"), F.col("_from").alias("low"), F.col("_until").alias("high"))
@@ -111,7 +112,7 @@ class Capture:
         else:
             taken = taken.where(above)
         taken = taken.select(*place.values())
-        if acknowledged is None and (have := self.sink([k for k in self._numbers("commits") if k < n])) is not None:
+        if (have := self.sink([k for k in self._numbers("commits") if k < n])) is not None:
             have = have.select(F.col(self.partition).alias("sp"), F.col(self.offset).alias("so"))
             taken = taken.join(have, p.eqNullSafe(F.col("sp")) & (o == F.col("so")), "left_anti")
         taken.toDF(*names).write.mode("overwrite").parquet(f"{self.state}/sink/batch={n}")
