@@ -236,7 +236,9 @@ class Labeller:
                 lost = restored.count("�")
                 if 4 * lost <= high and restored != stretch:
                     out.append((first + k, self._score_text(restored), restored))
-        elif all(x >= 0x80 for x in codes) and any(self.cls[x] == 6 for x in codes):
+        elif any(self.cls[x] == 6 for x in codes):
+            # ASCII beside them is the same in all of these encodings and says nothing for or against.
+            plain = len(stretch) - high
             for k, (_, read) in enumerate(WIDE_READ):
                 try:
                     raw = b"".join(b"\xff" if ch == "�" else ch.encode(read) for ch in stretch)
@@ -244,7 +246,7 @@ class Labeller:
                     continue
                 restored = raw.decode("utf-8", "replace")
                 lost = restored.count("�")
-                if 2 * lost <= len(restored):
+                if 2 * lost <= len(restored) - plain:
                     out.append((first + len(WIDE_WRITTEN) + k, self._score_text(restored), restored))
         if len(self._wide_cache) > 200_000:
             self._wide_cache.clear()
