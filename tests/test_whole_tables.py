@@ -16,3 +16,8 @@ def test_aggregates_and_casts_leave_no_row_out(spark):
     got = registry.queries()["array_agg_sorted_all"](spark, SF)
     assert got.agg(F.sum(F.size("orders_"))).head()[0] == orders.count()
     assert registry.queries()["cast_matrix_all"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_distances_are_between_different_vectors(spark):
+    got = registry.queries()["fn_embedding_distance_first"](spark, SF)
+    assert got.where("d > 0").count() > 0.9 * got.count() and got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()

@@ -220,3 +220,6 @@ add("fn_struct_map", "SELECT r_regionkey, get_field(struct_of, 'b') AS b, map_ke
     "SELECT r_regionkey, r_name AS b, [r_name] AS k, [r_regionkey] AS v, 1 AS c FROM region")
 add("fn_time_conversion", "SELECT event_id, to_unixtime(ts) AS u, to_timestamp_seconds(event_id) = to_timestamp_millis(event_id * 1000) AS same, CAST(floor(EXTRACT(epoch FROM ts)) AS BIGINT) AS e FROM events", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS u, true AS same, CAST(floor(epoch(ts)) AS BIGINT) AS e FROM events")
 add("fn_embedding_distance", "SELECT vec_id, round(array_distance(embedding, embedding), 6) AS d, array_length(embedding) AS n FROM embeddings", "SELECT vec_id, 0.0 AS d, CAST(len(embedding) AS INT) AS n FROM embeddings")
+# Each vector against the first one, not itself; squares are taken in the vectors' own type on both engines.
+add("fn_embedding_distance_first", "SELECT e.vec_id, round(array_distance(e.embedding, q.embedding), 6) AS d FROM embeddings AS e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) AS q",
+    "SELECT e.vec_id, round(sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST((x[1] - x[2]) * (x[1] - x[2]) AS DOUBLE)))), 6) AS d FROM embeddings AS e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) AS q")
