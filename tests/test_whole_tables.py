@@ -21,3 +21,10 @@ def test_aggregates_and_casts_leave_no_row_out(spark):
 def test_distances_are_between_different_vectors(spark):
     got = registry.queries()["fn_embedding_distance_first"](spark, SF)
     assert got.where("d > 0").count() > 0.9 * got.count() and got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_versions_and_conversion_meet_a_table_that_grows(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    got = registry.queries()["convert_parquet_orders"](spark, SF)
+    assert got.count() == orders.count() and len(got.inputFiles()) >= orders.count() / 1000
+    assert registry.queries()["time_travel_except_orders"](spark, SF).count() == orders.where("o_orderkey % 4 >= 3").count()

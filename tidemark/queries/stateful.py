@@ -105,13 +105,13 @@ script("create_database", "SELECT 1::BIGINT AS n", "CREATE DATABASE d2; CREATE T
 # -- versions ------------------------------------------------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[str]]:
+def _versions(spark: SparkSession, sf_dir: str, source: str = "nation", key: str = "n_nationkey", some: Callable[[int], str] = lambda n: f"n_nationkey >= {n * 5}") -> tuple[Engine, list[str]]:
     """A table with three appends, and for each version an instant at which it was the newest."""
     import time
     from datetime import datetime, timezone
 
-    e, at = loaded(spark, sf_dir, "nation"), []
-    for n, sql in enumerate(["CREATE TABLE t AS SELECT n_nationkey AS k, 1 AS v FROM staging.nation"] + [f"INSERT INTO t SELECT n_nationkey, {n} FROM staging.nation WHERE n_nationkey >= {n * 5}" for n in (2, 3)]):
+    e, at = loaded(spark, sf_dir, source), []
+    for n, sql in enumerate([f"CREATE TABLE t AS SELECT {key} AS k, 1 AS v FROM staging.{source}"] + [f"INSERT INTO t SELECT {key}, {n} FROM staging.{source} WHERE {some(n)}" for n in (2, 3)]):
         e.sql(sql)
         time.sleep(0.005)
         at.append(datetime.now(timezone.utc).isoformat())
@@ -182,6 +182,76 @@ def _(spark, sf_dir):
     return c.sql("SELECT n_nationkey, n_name FROM staging.back")
 
 
+# The same on orders, which grows with the scale.
+
+
+def _order_versions(spark: SparkSession, sf_dir: str) -> tuple[Engine, list[str]]:
+    return _versions(spark, sf_dir, "orders", "o_orderkey", lambda n: f"o_orderkey % 4 >= {n}")
+
+
+@query("time_travel_version_orders", "SELECT o_orderkey AS k, 1 AS v FROM orders UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderkey % 4 >= 2")
+def _(spark, sf_dir):
+    e, at = _order_versions(spark, sf_dir)
+    return e.sql(f"SELECT * FROM t('{at[1]}')")
+
+
+@query("time_travel_except_orders", "SELECT o_orderkey AS k, 3 AS v FROM orders WHERE o_orderkey % 4 >= 3")
+def _(spark, sf_dir):
+    e, at = _order_versions(spark, sf_dir)
+    return e.sql(f"WITH new AS (SELECT * FROM t), old AS (SELECT * FROM t('{at[1]}')) SELECT * FROM new EXCEPT SELECT * FROM old")
+
+
+@query("ctas_time_travel_orders", "SELECT o_orderkey AS k, 1 AS v FROM orders UNION ALL SELECT o_orderkey, 3 FROM orders WHERE o_orderkey % 4 >= 3")
+def _(spark, sf_dir):
+    e, at = _order_versions(spark, sf_dir)
+    return e.sql(f"CREATE TABLE d AS SELECT * FROM t EXCEPT SELECT * FROM t('{at[1]}'); INSERT INTO d SELECT * FROM t('{at[0]}'); SELECT * FROM d")
+
+
+@query("vacuum_versions_orders", "SELECT 1::BIGINT AS versions, count(*) AS n, true AS files_gone FROM orders WHERE o_orderkey % 7 <> 3")
+def _(spark, sf_dir):
+    e = loaded(spark, sf_dir, "orders")
+    e.sql(f"{_CTAS}; DELETE FROM t WHERE k % 7 = 3")
+    table = e.table("t")
+    gone = table.snapshot().gone
+    e.sql("VACUUM TABLE t")
+    deleted = bool(gone) and not any(table.store.exists(table.absolute(p)) for p in gone)
+    return e.sql(f"SELECT (SELECT count(*) FROM system.table_versions) AS versions, count(*) AS n, {str(deleted).lower()} AS files_gone FROM t")
+
+
+@query("convert_parquet_orders", "SELECT o_orderkey, o_orderpriority FROM orders")
+def _(spark, sf_dir):
+    e = loaded(spark, sf_dir, "orders")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").write.option("maxRecordsPerFile", 1000).parquet(f"{e.root}/7fbfeeeb-ade6-4238-89ab-4d4c5d9dd2b4")
+    return e.sql("CONVERT '7fbfeeeb-ade6-4238-89ab-4d4c5d9dd2b4' TO DELTA r; CONVERT '7fbfeeeb-ade6-4238-89ab-4d4c5d9dd2b4' TO DELTA r; SELECT o_orderkey, o_orderpriority FROM r")
+
+
+@query("external_versioned_table_orders", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0")
+def _(spark, sf_dir):
+    e = loaded(spark, sf_dir, "orders")
+    e.sql(f"{_CTAS}; DELETE FROM t WHERE k % 5 = 0")
+    e.sql(f"CREATE EXTERNAL TABLE x STORED AS DELTATABLE LOCATION '{e.table('t').path}'")
+    return e.sql("SELECT k FROM staging.x")
+
+
+@query("iceberg_append_orders", "SELECT o_orderkey, o_orderpriority FROM orders UNION ALL SELECT o_orderkey + 1000000000000, o_orderpriority FROM orders WHERE o_orderkey % 4 = 1")
+def _(spark, sf_dir):
+    from tidemark.sources.iceberg import create_table
+
+    e = loaded(spark, sf_dir, "orders")
+    made = create_table(spark, f"{e.root}/ice", spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority").schema)
+    c = e.with_metastore({"s.t": {"location": made.path, "format": "ICEBERG"}})
+    c.sql("INSERT INTO s.t SELECT o_orderkey, o_orderpriority FROM staging.orders; INSERT INTO s.t SELECT o_orderkey + 1000000000000, o_orderpriority FROM staging.orders WHERE o_orderkey % 4 = 1")
+    c.sql(f"CREATE EXTERNAL TABLE back STORED AS ICEBERG LOCATION '{e.root}/ice/metadata/v3.metadata.json'")
+    return c.sql("SELECT o_orderkey, o_orderpriority FROM staging.back")
+
+
+@query("ndjson_external_roundtrip_orders", "SELECT o_orderkey, o_orderpriority FROM orders")
+def _(spark, sf_dir):
+    e = loaded(spark, sf_dir, "orders")
+    e.sql(f"COPY (SELECT o_orderkey, o_orderpriority FROM staging.orders) TO '{e.root}/orders.json'; CREATE EXTERNAL TABLE back STORED AS NDJSON LOCATION '{e.root}/orders.json'")
+    return e.sql("SELECT o_orderkey, o_orderpriority FROM staging.back")
+
+
 script("system_table_versions", "SELECT 'public' AS table_schema, 't' AS table_name, v::BIGINT AS version FROM range(0, 3) r(v)", f"{_CTAS}; DELETE FROM t WHERE k = 1; SELECT table_schema, table_name, version FROM system.table_versions")
 script("information_schema_columns", "SELECT * FROM (VALUES ('a', 'int', 'YES'), ('b', 'string', 'NO'), ('c', 'decimal(38,10)', 'YES')) t(column_name, data_type, is_nullable)", "CREATE TABLE t (a INT, b TEXT NOT NULL, c NUMERIC); SELECT column_name, data_type, is_nullable FROM information_schema.columns WHERE table_name = 't'")
 
