@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+from collections.abc import Iterator
+from itertools import chain, islice
 from typing import TextIO
 
 from tidemark.plans.engine import Engine
@@ -12,13 +14,20 @@ from tidemark.plans.engine import Engine
 HELP = "\\d list tables\n\\d NAME describe a table\n\\? help\n\\q quit\n"
 
 
-def table_text(df) -> str:
-    rows = df.limit(1000).collect()  # what a prompt shows
-    cells = [[("NULL" if v is None else str(v)) for v in r] for r in rows]
+#: Rows that are held at once; the first ones give the widths of the columns.
+BLOCK = 1000
+
+
+def table_lines(df) -> Iterator[str]:
+    """All rows of a result, line by line; a later cell that is wider than its column stands out."""
+    rows = ([("NULL" if v is None else str(v)) for v in r] for r in df.toLocalIterator())
+    cells = list(islice(rows, BLOCK))
     widths = [max([len(c), *(len(r[k]) for r in cells)]) for k, c in enumerate(df.columns)]
     line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
     show = lambda r: "|" + "|".join(f" {x:<{w}} " for x, w in zip(r, widths)) + "|"
-    return "\n".join([line, show(df.columns), line, *map(show, cells), line])
+    yield from (line, show(df.columns), line)
+    yield from map(show, chain(cells, rows))
+    yield line
 
 
 def command(engine: Engine, text: str, out: TextIO) -> bool:
@@ -40,7 +49,7 @@ def command(engine: Engine, text: str, out: TextIO) -> bool:
     try:
         df = engine.sql(text)
         if df is not None:
-            out.write(table_text(df) + "\n")
+            out.writelines(f"{x}\n" for x in table_lines(df))
     except Exception as e:  # noqa: BLE001 - a prompt goes on after an error
         out.write(f"{e}\n")
     out.write(f"Time: {time.time() - began:.3f}s\n")
