@@ -3,10 +3,11 @@
 A run has three steps, all kept below one state folder on shared storage:
 
 1. plan: a write-ahead batch plan, plans/N: for each partition of the log the position (an exclusive lower offset)
-   and the highest offset seen, and in plans/N.json the arrival bound up to which the log was read. The JSON file is
-   created only after the table is complete, with put-if-absent, so a plan exists whole or not at all.
+   and the lowest and highest offset seen; in plans/N-acknowledged what a reader outside has acknowledged, if there is one;
+   and in plans/N.json the arrival bound up to which the log was read. The JSON file is created only after the tables are
+   complete, with put-if-absent, so a plan exists whole or not at all.
 2. apply: the records that the plan names are written to sink/batch=N, without those that the sink already has by
-   partition and offset. The folder is overwritten, so a second try leaves the same rows.
+   partition and offset. Only the plan decides which, so a second try leaves the same rows, whatever was acknowledged since.
 3. commit: commits/N.json.
 
 A plan without a commit is replayed before anything new is planned: its bounds are fixed, so records that came in
@@ -55,12 +56,13 @@ class Capture:
 
     # -- steps -----------------------------------------------------------------------------------------------------
 
-    def plan(self, log: DataFrame, positions: DataFrame | None = None) -> int:
+    def plan(self, log: DataFrame, positions: DataFrame | None = None, acknowledged: DataFrame | None = None) -> int:
         """Write the next batch's plan and return its number.
 
         positions (partition, position): the offset up to which a reader outside has taken each partition; without
         it the positions are those up to which earlier batches of this state went, and only deliveries that
-        arrived since are read.
+        arrived since are read. acknowledged (partition, offset): with it, records at or below the position that are
+        not acknowledged are taken too.
         """
         n = max(self._numbers("plans"), default=0) + 1
         since = None if positions is not None or n == 1 else json.loads(self.store.read_text(f"{self.state}/plans/{n - 1}.json"))["until"]
@@ -78,19 +80,22 @@ class Capture:
             ranges = ranges.join(at, p.eqNullSafe(F.col("_p")), "left").drop("_p")
         path = f"{self.state}/plans/{n}"
         ranges.write.mode("overwrite").parquet(path)
-        if not self.store.put_if_absent(f"{path}.json", json.dumps({"batch": n, "since": since, "until": until})):
+        if acknowledged is not None:
+            acknowledged.select(F.col(self.partition).alias("ap"), F.col(self.offset).alias("ao")).distinct().write.mode("overwrite").parquet(f"{path}-acknowledged")
+        if not self.store.put_if_absent(f"{path}.json", json.dumps({"batch": n, "since": since, "until": until, "acknowledged": acknowledged is not None})):
             raise RuntimeError(f"another writer has planned batch {n}")
         return n
 
-    def apply(self, n: int, log: DataFrame, acknowledged: DataFrame | None = None) -> None:
+    def apply(self, n: int, log: DataFrame) -> None:
         """Write the records of plan n to the sink; safe to repeat.
 
-        A record is taken if it is above its partition's position, or there is none. acknowledged (partition,
-        offset): with it, records at or below the position that are not acknowledged are taken too. What an earlier
-        committed batch of the sink holds is not taken again, also while it waits for its acknowledgement.
+        A record is taken if it is above its partition's position, if there is no position, or if the plan has
+        acknowledgements and none for it. What an earlier committed batch of the sink holds is not taken again, also while
+        it waits for its acknowledgement.
         """
         plan = json.loads(self.store.read_text(f"{self.state}/plans/{n}.json"))
-        ranges = self.spark.read.parquet(f"{self.state}/plans/{n}").select(F.col(self.partition).alias("q"), F.col("_from").alias("low"), F.col("_until").alias("high"))
+        planned = self.spark.read.parquet(f"{self.state}/plans/{n}")
+        ranges = planned.select(F.col(self.partition).alias("q"), F.col("_from").alias("low"), F.col("_until").alias("high"))
         names = log.columns
         place = {name: f"c{i}" for i, name in enumerate(names)}
         rows = log.toDF(*place.values())
@@ -98,22 +103,25 @@ class Capture:
         rows = rows.where(o.isNotNull() & (a <= plan["until"]))
         if plan["since"] is not None:
             rows = rows.where(a > plan["since"])
-        # One row for each record before the joins: a hot partition has many offsets but no offset many rows. A null
-        # partition is one like others, so the records are told apart by a hash beside a mark for null.
-        marked = rows.withColumns({"hash": F.coalesce(F.xxhash64(p), F.lit(0)), "null": p.isNull(), "text": F.coalesce(p.cast("string"), F.lit(""))})
-        one = deduplicate(marked, ["null", "hash", "text", place[self.offset]], [place[self.arrival]]).drop("hash", "null", "text")
-        # The plan has one row for each partition; past the size bound the join shuffles and skewed parts are split.
-        taken = one.join(broadcast_if_small(ranges), p.eqNullSafe(F.col("q")) & (o <= F.col("high"))).drop("q", "high")
+        # Most of a long log lies below the positions and goes here, before anything is told apart. The plan has one row for
+        # each partition; past the size bound the join shuffles and skewed parts are split.
+        rows = rows.join(broadcast_if_small(ranges), p.eqNullSafe(F.col("q")) & (o <= F.col("high"))).drop("q", "high")
         above = F.col("low").isNull() | (o > F.col("low"))
-        if acknowledged is not None:
-            acks = acknowledged.select(F.col(self.partition).alias("ap"), F.col(self.offset).alias("ao"), F.lit(True).alias("acked")).distinct()
-            taken = taken.join(acks, p.eqNullSafe(F.col("ap")) & (o == F.col("ao")), "left").drop("ap", "ao")
-            taken = taken.where(above | F.col("acked").isNull())
+        if plan.get("acknowledged"):
+            acks = self.spark.read.parquet(f"{self.state}/plans/{n}-acknowledged").withColumn("acked", F.lit(True))
+            rows = rows.join(acks, p.eqNullSafe(F.col("ap")) & (o == F.col("ao")), "left").where(above | F.col("acked").isNull())
         else:
-            taken = taken.where(above)
-        taken = taken.select(*place.values())
+            rows = rows.where(above)
+        rows = rows.select(*place.values())
+        # A null partition is one like others, so the records are told apart by a hash beside a mark for null; a hot
+        # partition has many offsets but no offset many rows.
+        marked = rows.withColumns({"hash": F.coalesce(F.xxhash64(p), F.lit(0)), "null": p.isNull(), "text": F.coalesce(p.cast("string"), F.lit(""))})
+        taken = deduplicate(marked, ["null", "hash", "text", place[self.offset]], [place[self.arrival]]).drop("hash", "null", "text")
         if (have := self.sink([k for k in self._numbers("commits") if k < n])) is not None:
+            low, high = planned.agg(F.min("_first"), F.max("_until")).head()
             have = have.select(F.col(self.partition).alias("sp"), F.col(self.offset).alias("so"))
+            if low is not None:  # offsets that this batch cannot have are skipped by the sink's statistics
+                have = have.where(F.col("so").between(low, high))
             taken = taken.join(have, p.eqNullSafe(F.col("sp")) & (o == F.col("so")), "left_anti")
         taken.toDF(*names).write.mode("overwrite").parquet(f"{self.state}/sink/batch={n}")
 
@@ -123,10 +131,10 @@ class Capture:
     def run(self, log: DataFrame, positions: DataFrame | None = None, acknowledged: DataFrame | None = None) -> DataFrame:
         """Replay a plan that was left over, if any; then plan, apply and commit one batch. The rows of that batch."""
         if (left := self.pending()) is not None:
-            self.apply(left, log, acknowledged)
+            self.apply(left, log)
             self.commit(left)
-        n = self.plan(log, positions)
-        self.apply(n, log, acknowledged)
+        n = self.plan(log, positions, acknowledged)
+        self.apply(n, log)
         self.commit(n)
         return self.sink([n])
 

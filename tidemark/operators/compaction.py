@@ -15,9 +15,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import types as T
 
 from tidemark.functions.identifiers import address_root, address_segments
+from tidemark.operators.drift import common_type
 from tidemark.operators.scale import broadcast_if_small
 from tidemark.sources.storage import Storage
 
@@ -129,7 +130,7 @@ def plan_groups(files: DataFrame, keys: list[str], size: str, order: str, target
     counts = counts.select(*[F.col(k).alias(f"k_{k}") for k in by], F.ceil(F.col("n") / shard_files).cast("int").alias("shards"))
     sharded = rows.join(broadcast_if_small(counts), [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in by])
     sharded = sharded.withColumn("shard", F.expr(f"pmod(xxhash64({place[order]}), shards)").cast("int")).select(*rows.columns, "shard")
-    schema = StructType(sharded.schema.fields + [StructField("group_no", IntegerType())])
+    schema = T.StructType(sharded.schema.fields + [T.StructField("group_no", T.IntegerType())])
 
     def assign(t: pa.Table) -> pa.Table:
         t = t.sort_by(place[order])
@@ -140,8 +141,8 @@ def plan_groups(files: DataFrame, keys: list[str], size: str, order: str, target
     return sharded.groupBy(*by, "shard").applyInArrow(assign, schema).toDF(*names, "shard", "group_no")
 
 
-def merge_files(paths: list[str], out: str) -> tuple[int, int]:
-    """Stream Parquet files, batch by batch, into one at out; rows read, rows written (as the new footer says).
+def merge_files(paths: list[str], out: str) -> tuple[int, int, pa.Schema]:
+    """Stream Parquet files, batch by batch, into one at out; rows read, rows written (as the new footer says), columns.
 
     Files whose columns differ get all of them, in the wider type; missing ones are null, types that have no wider one
     are an error. Empty files add nothing.
@@ -157,6 +158,7 @@ def merge_files(paths: list[str], out: str) -> tuple[int, int]:
     sources = [at(p) for p in paths]
     schema = pa.unify_schemas([pq.read_schema(name, filesystem=f) for f, name in sources], promote_options="permissive")
     read, aside = 0, f"{target}.{uuid.uuid4().hex}.tmp"
+    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
     writer = pq.ParquetWriter(aside, schema, filesystem=system, compression="zstd")
     for f, name in sources:
         for batch in ds.dataset(name, filesystem=f, format="parquet", schema=schema).to_batches(batch_size=65_536):
@@ -165,47 +167,66 @@ def merge_files(paths: list[str], out: str) -> tuple[int, int]:
     writer.close()
     written = pq.ParquetFile(aside, filesystem=system).metadata.num_rows
     system.move(aside, target)
-    return read, written
+    return read, written, schema
 
 
 def compact(spark: SparkSession, plan: DataFrame, address: str, records: str, keys: list[str], out_dir: str) -> DataFrame:
     """Merge each group of a plan (see plan_groups) and publish the manifest; the rows of all merged files.
 
     address: the column with each file's URL; records: the number of rows its log entry gives, or null if unknown.
-    Each group becomes out_dir/<key hash>-<shard>-<group>.parquet. Before anything is published it is verified that
-    each group wrote as many rows as it read, and as its files' entries say. The manifest names the merged files and
-    is created with put-if-absent: until then readers see the old files, afterwards only the new ones.
-    A retried task overwrites its own group's file, so lost executors do no harm.
+    Each group becomes one file <key hash>-<shard>-<group>.parquet in a folder of this attempt. Before anything is published
+    it is verified that each group wrote as many rows as it read, and as its files' entries say. The manifest names the
+    merged files' table and their united columns and is created with put-if-absent: until then readers see the old files,
+    afterwards only the new ones. A retried task overwrites its own group's file, so lost executors do no harm; what an
+    attempt leaves that was refused or was second is in no manifest and is never read.
     """
+    attempt = f"{out_dir}/attempt-{uuid.uuid4().hex}"
     grouped = plan.groupBy(*keys, "shard", "group_no").agg(F.collect_list(F.struct(address, records)).alias("files"))
     grouped = grouped.select(F.abs(F.xxhash64(*keys)).alias("k"), "shard", "group_no", F.sort_array("files").alias("files"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import from_arrow_schema
+
         for b in batches:
             for r in b.to_pylist():
-                out = f"{out_dir}/{r['k']}-{r['shard']}-{r['group_no']}.parquet"
-                read, written = merge_files([f[address] for f in r["files"]], out)
+                out = f"{attempt}/{r['k']}-{r['shard']}-{r['group_no']}.parquet"
+                read, written, columns = merge_files([f[address] for f in r["files"]], out)
                 said = [f[records] for f in r["files"]]
                 ok = read == written and (None in said or sum(said) == read)
-                yield pa.RecordBatch.from_pylist([{"path": out, "files": len(r["files"]), "rows_in": read, "rows_out": written, "ok": ok}])
+                names = from_arrow_schema(columns, prefer_timestamp_ntz=True).json()
+                yield pa.RecordBatch.from_pylist([{"path": out, "files": len(r["files"]), "rows_in": read, "rows_out": written, "ok": ok, "columns": names}])
 
-    Storage(spark).put_if_absent(f"{out_dir}/_started", "")
-    done = grouped.mapInArrow(work, "path string, files bigint, rows_in bigint, rows_out bigint, ok boolean")
-    done.write.mode("overwrite").parquet(f"{out_dir}/_groups")
-    done = spark.read.parquet(f"{out_dir}/_groups")
-    if bad := done.where("NOT ok").limit(5).collect():
+    done = grouped.mapInArrow(work, "path string, files bigint, rows_in bigint, rows_out bigint, ok boolean, columns string")
+    done.write.parquet(f"{attempt}/_groups")
+    done = spark.read.parquet(f"{attempt}/_groups")
+    if bad := done.where("NOT ok").drop("columns").limit(5).collect():
         raise ValueError(f"merged files do not hold the rows of their sources: {bad}")
     total = done.agg(F.count(F.lit(1)), F.sum("files"), F.sum("rows_out")).head()
-    manifest = {"groups": f"{out_dir}/_groups", "files_out": total[0], "files_in": total[1] or 0, "rows": total[2] or 0}
+    columns = _united([T.StructType.fromJson(json.loads(r[0])) for r in done.groupBy("columns").agg(F.min("path").alias("p")).orderBy("p").toLocalIterator()])
+    manifest = {"groups": f"{attempt}/_groups", "columns": columns.jsonValue(), "files_out": total[0], "files_in": total[1] or 0, "rows": total[2] or 0}
     if not Storage(spark).put_if_absent(f"{out_dir}/manifest.json", json.dumps(manifest)):
         raise RuntimeError(f"{out_dir} has a manifest already")
     return read_manifest(spark, out_dir)
 
 
+def _united(schemas: list[T.StructType]) -> T.StructType:
+    """All columns of the groups' files, in order of appearance, each in a type that all its versions can be read as."""
+    fields: dict[str, T.DataType] = {}
+    for s in schemas:
+        for f in s.fields:
+            kind = common_type(fields[f.name], f.dataType) if f.name in fields else f.dataType
+            if isinstance(kind, T.StringType) and f.name in fields and fields[f.name] != f.dataType:
+                raise ValueError(f"column {f.name} has types without a wider one: {fields[f.name].simpleString()}, {f.dataType.simpleString()}")
+            fields[f.name] = kind
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
 def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The rows of the files that a published manifest names."""
+    """The rows of the files that a published manifest names, and of no others, with all their columns."""
     store = Storage(spark)
     if not store.exists(f"{out_dir}/manifest.json"):
         raise FileNotFoundError(f"{out_dir} has no manifest")
-    # The names on storage, not collected rows: only merged files are named <hash>-<shard>-<group>.parquet.
-    return spark.read.option("pathGlobFilter", "*-*-*.parquet").parquet(out_dir)
+    manifest = json.loads(store.read_text(f"{out_dir}/manifest.json"))
+    columns = T.StructType.fromJson(manifest["columns"])
+    paths = [r[0] for r in spark.read.parquet(manifest["groups"]).select("path").toLocalIterator()]
+    return spark.read.schema(columns).parquet(*paths) if paths else spark.createDataFrame([], columns)

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 
 from tidemark.operators.relational import asof_join, groups_frame, weighted_percentile
-from tidemark.plans.dialect import to_spark
+from tidemark.plans.dialect import typed_division
+from tidemark.plans.tokens import tokenize
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "sync_commands", "sync_responses", "data_files", "table_objects"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,7 @@ def ask(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     frames = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used]
     for name, df in zip(used, frames):
         df.createOrReplaceTempView(name)
-    return spark.sql(to_spark(sql, integral_columns(frames)))
+    return spark.sql(typed_division(spark, tokenize(sql), integral_columns(frames)))
 
 
 def add(name: str, sql: str, other: str | None = None) -> None:

@@ -18,12 +18,15 @@ from pyspark.sql import types as T
 
 from tidemark.operators.patches import compose
 from tidemark.plans.log import CommitConflict, DataFile, VersionedTable
+from tidemark.plans.pruning import bounds as bounds_of
 from tidemark.plans.tokens import SqlError
 from tidemark.session import cut
 
 OLD_PK, NEW_PK, VALUE, CHANGED = "OLD_PK", "NEW_PK", "VALUE", "CHANGED"
 #: When a buffer is written out, and how long a message waits for the writer.
 MAX_LAG_S, MAX_BYTES, MAX_SYNCS_PER_TABLE, FLUSH_EVERY_S, LOCK_S = 600, 3 << 30, 100, 900, 3
+#: Fixed value: messages of one transaction are put together in the buffer up to so many rows.
+ITEM_ROWS = 100_000
 #: With more rows in the files that ranges leave, files are picked key by key.
 FINE_PRUNING_ROWS = 3_000_000
 _FILES_PER_PASS = 200
@@ -95,6 +98,7 @@ class Item:
     rows: int
     transaction: Transaction
     at: float
+    bytes: int = 0
 
 
 @dataclass
@@ -121,11 +125,14 @@ class SyncWriter:
 
     # -- messages --------------------------------------------------------------------------------------------------
 
-    def put(self, path: str, df: DataFrame | None, descriptors: list[Column], origin: str, sequence: int | None = None, rows: int | None = None) -> Reply:
+    def put(self, path: str, df: DataFrame | None, descriptors: list[Column], origin: str, sequence: int | None = None, rows: int | None = None, format: str = "DELTA") -> Reply:
         """Take one message. A probe (no rows, no sequence number) only asks for the sequence numbers.
 
-        The message's rows are in the order of df; a column _row, if df has one, gives it instead.
+        The message's rows are in the order of df; a column _row, if df has one, gives it instead. Targets are versioned
+        tables; Iceberg tables are refused.
         """
+        if format.upper() != "DELTA" or path.endswith(".metadata.json"):
+            raise SqlError(f"Change streams can't be written to tables of format {format.upper() if format.upper() != 'DELTA' else 'ICEBERG'}")
         first = origin not in self.memory and origin not in {t.origin for t in self.transactions}
         if not self.lock.acquire(timeout=LOCK_S):
             self.metrics["rejected"] += 1
@@ -158,7 +165,7 @@ class SyncWriter:
                 # The id rises with the partition and the place in it, which is the order in which rows came.
                 df = df.withColumn("_row", F.monotonically_increasing_id())
             self.counter += 1
-            self.items.setdefault(path, []).append(Item(schema.changes(df, self.counter), schema, rows, self.open, self.clock()))
+            self._buffer(path, Item(schema.changes(df, self.counter), schema, rows, self.open, self.clock(), _bytes_of(df)))
             self.open.tables.add(path)
             self.metrics["rows"] += rows
         if sequence is not None:
@@ -166,6 +173,15 @@ class SyncWriter:
             self.memory[origin] = sequence
             self.open = None
 
+    def _buffer(self, path: str, new: Item) -> None:
+        """Add to a table's buffer: to its last item if that is of the same transaction and columns and stays within ITEM_ROWS."""
+        items = self.items.setdefault(path, [])
+        last = items[-1] if items else None
+        if last and last.transaction is new.transaction and last.schema.pairs == new.schema.pairs and last.rows + new.rows <= ITEM_ROWS:
+            last.changes, last.rows, last.bytes = last.changes.unionByName(new.changes), last.rows + new.rows, last.bytes + new.bytes
+        else:
+            items.append(new)
+
     def _due(self) -> str | None:
         """The table that has to be written out now, if any: too old, too much, or too many messages."""
         if not self.items:
@@ -173,7 +189,7 @@ class SyncWriter:
         oldest = min(self.items, key=lambda p: self.items[p][0].at)
         if self.clock() - self.items[oldest][0].at >= self.max_lag_s:
             return oldest
-        size = lambda p: sum(i.rows for i in self.items[p]) * 200  # noqa: E731 - bytes of a buffered row, roughly
+        size = lambda p: sum(i.bytes for i in self.items[p])
         if sum(map(size, self.items)) >= self.max_bytes:
             return max(self.items, key=size)
         return next((p for p, i in self.items.items() if len(i) >= self.max_syncs), None)
@@ -215,7 +231,10 @@ class SyncWriter:
         table = VersionedTable(self.spark, path)
         last = items[-1].transaction
         info = {"sync_commit_info": {"origin": last.origin, "sequence": last.sequence}}
-        merge_changes(table, [(i.changes, i.schema) for i in items], info)
+        numbers: dict[str, int] = {}
+        for t in (i.transaction for i in items if i.transaction.sequence is not None):
+            numbers[t.origin] = max(t.sequence, numbers.get(t.origin, t.sequence))
+        merge_changes(table, [(i.changes, i.schema) for i in items], info, numbers)
         del self.items[path]
         self.metrics["flushes"] += 1
         for t in {id(i.transaction): i.transaction for i in items}.values():
@@ -226,8 +245,17 @@ class SyncWriter:
             self.durable[t.origin] = t.sequence
 
 
-def recorded_sequence(table: VersionedTable) -> tuple[str, int] | None:
-    """(origin, sequence number) of the latest commit that recorded one."""
+def _bytes_of(df: DataFrame) -> int:
+    """The optimizer's size of a message; where it has none, that of a hundred bytes a row stands in."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 100
+
+
+def recorded_sequence(table: VersionedTable, origin: str | None = None) -> tuple[str, int] | None:
+    """(origin, sequence number) of the latest commit that recorded one, of any origin or of the one named."""
+    if origin is not None:
+        number = table.snapshot().writers.get(origin)
+        return None if number is None else (origin, number)
     for v in reversed(table.versions()):
         for a in table.actions(v):
             info = a.get("commitInfo", {}).get("sync_commit_info")
@@ -240,16 +268,14 @@ def touched_files(function: DataFrame, keys: list[str], schema: T.StructType, fi
     """Files that may hold a row of a touched key: by the keys' ranges, and past fine_rows rows key by key."""
     kinds = [schema[k].dataType for k in keys]
     parts = F.explode(F.array_compact(F.array("key", "src")))
-    every = function.select(parts.alias("k")).select(*[F.col("k")[i].cast(t).alias(f"k{i}") for i, t in enumerate(kinds)])
-    bounds = every.agg(*[f(f"k{i}").alias(f"{n}{i}") for i in range(len(keys)) for n, f in (("lo", F.min), ("hi", F.max))]).head()
-    from tidemark.plans.log import _plain
+    times = {n for n, t in enumerate(kinds) if isinstance(t, T.TimestampType)}  # compared in UTC, without a zone
+    every = function.select(parts.alias("k")).select(*[F.col("k")[i].cast(t).cast("timestamp_ntz" if i in times else t).alias(f"k{i}") for i, t in enumerate(kinds)])
+    ends = every.agg(*[f(f"k{i}").alias(f"{n}{i}") for i in range(len(keys)) for n, f in (("lo", F.min), ("hi", F.max))]).head()
 
     def inside(f: DataFile, i: int) -> bool:
-        low, high = (f.stats.get(s, {}).get(keys[i]) for s in ("minValues", "maxValues"))
-        lo, hi = _plain(bounds[f"lo{i}"]), _plain(bounds[f"hi{i}"])
-        if None in (low, high, lo, hi) or type(low) is not type(lo):
-            return True
-        return low <= hi and high >= lo
+        low, high = bounds_of(f.stats, keys[i], kinds[i])
+        lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
+        return None in (low, high, lo, hi) or low <= hi and high >= lo
 
     kept = [f for f in files if all(inside(f, i) for i in range(len(keys)))]
     if sum(f.stats.get("numRecords", 0) for f in kept) <= fine_rows:
@@ -261,18 +287,20 @@ def touched_files(function: DataFrame, keys: list[str], schema: T.StructType, fi
         for j, f in enumerate(part):
             test = F.lit(True)
             for i, t in enumerate(kinds):
-                low, high = (f.stats.get(s, {}).get(keys[i]) for s in ("minValues", "maxValues"))
+                low, high = bounds_of(f.stats, keys[i], t)
                 if low is not None and high is not None:
-                    test &= F.coalesce(F.col(f"k{i}").between(F.lit(low).cast(t), F.lit(high).cast(t)), F.lit(True))
+                    test &= F.coalesce(F.col(f"k{i}").between(F.lit(low), F.lit(high)), F.lit(True))
             tests.append(F.max(test).alias(f"f{j}"))
         row = every.agg(*tests).head()
         hit += [f for j, f in enumerate(part) if row[j]]
     return hit
 
 
-def merge_changes(table: VersionedTable, items: list[tuple[DataFrame, SyncSchema]], info: dict | None = None) -> None:
+def merge_changes(table: VersionedTable, items: list[tuple[DataFrame, SyncSchema]], info: dict | None = None, numbers: dict[str, int] | None = None) -> None:
     """Apply messages, in order, to a table in one commit; the table is made if it is not there.
 
+    numbers: the sequence number of each origin that the table holds with these messages; the commit records them.
+
     Columns that the table lacks are not stored; columns that no message sets keep their content.
     """
     if not table.versions():
@@ -307,7 +335,7 @@ def merge_changes(table: VersionedTable, items: list[tuple[DataFrame, SyncSchema
                 has = F.array_contains(F.map_keys("patch"), c.name)
                 made.append(F.when(has, F.try_element_at("patch", F.lit(c.name)).cast(c.dataType)).otherwise(F.col(f"`{c.name}`")).alias(c.name))
         try:
-            table.rewrite(s, touched, rest.unionByName(moved.select(*made)), "SYNC", info)
+            table.rewrite(s, touched, rest.unionByName(moved.select(*made)), "SYNC", info, numbers)
             return
         except CommitConflict:
             continue
@@ -317,18 +345,19 @@ def merge_changes(table: VersionedTable, items: list[tuple[DataFrame, SyncSchema
 def sync_stream(stream: DataFrame, path: str, descriptors: list[Column], origin: str, checkpoint: str):
     """A streaming query that merges each micro-batch into a table, effectively once.
 
-    A micro-batch that is delivered again after a failure is skipped: its number is in the table's last commits.
+    A micro-batch that is delivered again after a failure is skipped: the table's log keeps the last number of each origin,
+    whatever other origins have written since.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
         table = VersionedTable(batch.sparkSession, path)
-        seen = recorded_sequence(table) if table.versions() else None
-        if seen is not None and seen[0] == origin and seen[1] >= n:
+        seen = recorded_sequence(table, origin) if table.versions() else None
+        if seen is not None and seen[1] >= n:
             return
         schema = SyncSchema(descriptors, [f for f in batch.schema.fields if f.name != "_row"])
         if "_row" not in batch.columns:
             batch = batch.withColumn("_row", F.monotonically_increasing_id())
-        merge_changes(table, [(schema.changes(batch, n), schema)], {"sync_commit_info": {"origin": origin, "sequence": n}})
+        merge_changes(table, [(schema.changes(batch, n), schema)], {"sync_commit_info": {"origin": origin, "sequence": n}}, {origin: n})
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
