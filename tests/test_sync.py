@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 
 from tidemark.plans.log import DataFile, VersionedTable
 from tidemark.plans.tokens import SqlError
-from tidemark.queries.stateful import _sync_messages, _message
 from tidemark.streaming import sync
 from tidemark.streaming.sync import CHANGED, NEW_PK, OLD_PK, VALUE, Column, SyncSchema, SyncWriter, recorded_sequence, touched_files
 
@@ -135,15 +134,56 @@ def test_a_busy_writer_refuses(book, monkeypatch):
 
 
 def test_messages_in_two_flushes(spark, folder):
-    w = SyncWriter(spark)
-    messages = _sync_messages(spark)
-    for columns, rows, sequence in messages[:2]:
-        w.put(folder, _message(spark, columns, rows), columns, "42", sequence)
+    pair = [Column(OLD_PK, "a"), Column(OLD_PK, "b"), Column(NEW_PK, "a"), Column(NEW_PK, "b")]
+    w, n = SyncWriter(spark), None
+    first = spark.createDataFrame([(n, n, 1, "p", 0.5, "left", True, 0), (n, n, 2, "q", 1.5, "right", False, 1), (n, n, 3, "r", 2.5, n, True, 2)], "w int, x string, y int, z string, u double, v string, f boolean, _row bigint")
+    w.put(folder, first, [*pair, Column(VALUE, "u"), Column(VALUE, "v"), Column(CHANGED, "v")], "7", None)
+    second = spark.createDataFrame([(1, "p", 1, "pp", "up", 0), (1, "pp", 9, "pp", "down", 1), (3, "r", n, n, n, 2), (n, n, 4, "s", "new", 3)], "w int, x string, y int, z string, v string, _row bigint")
+    w.put(folder, second, [*pair, Column(VALUE, "v")], "7", 510)
     w.flush(folder)
     t = VersionedTable(spark, folder)
-    got = sorted((tuple(r) for r in t.scan().select("c1", "c2", "c3", "c4").collect()), key=str)
-    assert got == [(1, "1", 1.0, "one #2 in sync #2"), (2, "two", 2.0, "two #1 in sync #1"), (3, "three", None, None), (4, "four", None, "four")]
-    assert recorded_sequence(t) == ("42", 1234)
+    assert sorted((tuple(r) for r in t.scan().select("a", "b", "u", "v").collect()), key=str) == [(2, "q", 1.5, None), (4, "s", None, "new"), (9, "pp", 0.5, "down")]
+    assert recorded_sequence(t) == ("7", 510) == recorded_sequence(t, "7") and recorded_sequence(t, "8") is None
+
+
+def test_decimal_keys_are_compared_as_numbers(spark, folder):
+    def message(rows):
+        return spark.createDataFrame([(*(None if x is None else Decimal(x) for x in r[:2]), r[2], k) for k, r in enumerate(rows)], "a decimal(10,2), b decimal(10,2), v string, _row bigint")
+
+    w, columns = SyncWriter(spark), [*KEYS, Column(VALUE, "v")]
+    for n, rows in enumerate(([(None, "9.00", "a"), (None, "9.50", "b")], [("9.00", "9.00", "c"), (None, "10.00", "d")])):
+        w.put(folder, message(rows), columns, "1", n)
+        w.flush_all()
+    assert sorted((str(r.k), r.v) for r in VersionedTable(spark, folder).scan().collect()) == [("10.00", "d"), ("9.00", "c"), ("9.50", "b")]
+
+
+def test_every_origin_keeps_its_number(spark, folder):
+    w, columns = SyncWriter(spark), [*KEYS, Column(VALUE, "v")]
+    for origin, sequence, k in (("A", 5, 1), ("B", 3, 2)):
+        w.put(folder, spark.createDataFrame([(None, k, "x", 0)], "a int, b int, v string, _row bigint"), columns, origin, sequence)
+        w.flush_all()
+    t = VersionedTable(spark, folder)
+    assert recorded_sequence(t, "A") == ("A", 5) and recorded_sequence(t, "B") == ("B", 3) and recorded_sequence(t) == ("B", 3)
+    for n in range(12):  # past a checkpoint of the log
+        w.put(folder, spark.createDataFrame([(2, 2, str(n), 0)], "a int, b int, v string, _row bigint"), columns, "B", 4 + n)
+        w.flush_all()
+    for v in range(9):
+        t.store.delete(f"{folder}/_delta_log/{v:020d}.json")
+    assert recorded_sequence(VersionedTable(spark, folder), "A") == ("A", 5)
+
+
+def test_messages_of_a_transaction_are_put_together(spark, folder, monkeypatch):
+    monkeypatch.setattr(sync, "ITEM_ROWS", 3)
+    w, columns = SyncWriter(spark), [*KEYS, Column(VALUE, "v")]
+    one = lambda k: spark.createDataFrame([(None, k, "x", 0)], "a int, b int, v string, _row bigint")
+    for k in range(5):
+        w.put(folder, one(k), columns, "A", 1 if k == 4 else None)
+    w.put(folder, one(9), columns, "A", 2)
+    assert [i.rows for i in w.items[folder]] == [3, 2, 1]
+    w.flush_all()
+    assert sorted(r.k for r in VersionedTable(spark, folder).scan().collect()) == [0, 1, 2, 3, 4, 9]
+    with pytest.raises(SqlError, match="ICEBERG"):
+        w.put(folder, one(1), columns, "A", 3, format="ICEBERG")
 
 
 def test_decimals_survive(spark, folder):

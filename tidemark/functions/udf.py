@@ -36,6 +36,8 @@ def read_definition(text: str) -> dict:
             "entrypoint": d["entrypoint"], "language": d.get("language", "wasmMessagePack"), "input_types": [spark_type(t) for t in d["input_types"]],
             "return_type": spark_type(d["return_type"]), "data": d["data"], "volatility": d.get("volatility", "Volatile"),
         }
+    except SqlError:
+        raise
     except (ValueError, KeyError, TypeError) as e:
         raise SqlError(f"Error deserializing function: {e}") from e
     if body["language"] not in LANGUAGES:
@@ -82,8 +84,12 @@ def register(spark: SparkSession, name: str, body: dict) -> None:
     """Make the function callable in SQL. A null in any argument gives null, without a call."""
     import pandas as pd
 
+    loaded: list = []  # once for each worker, not for each batch
+
     def run(*cols: pd.Series) -> pd.Series:
-        entry = (_python_entry if body["language"] == "python" else _wasm_entry)(body)
+        if not loaded:
+            loaded.append((_python_entry if body["language"] == "python" else _wasm_entry)(body))
+        entry = loaded[0]
         kinds = {"float": "float32", "double": "float64", "smallint": "Int16", "int": "Int32", "bigint": "Int64"}
         cols = tuple(c.astype("float64").astype(kinds[t]) if t in kinds and c.dtype == object else c for c, t in zip(cols, body["input_types"]))
         ok = ~pd.concat([c.isna() for c in cols], axis=1).any(axis=1) if cols else pd.Series([True])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import pipeline, relational, stateful
+from tidemark.queries import frontends, pipeline, relational, stateful
 
-MODULES = [relational, stateful, pipeline]
+MODULES = [relational, stateful, frontends, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -266,9 +266,9 @@ def _(spark, sf_dir):
     Storage(spark).put_if_absent(f"{e.root}/remote.db.dir", "")
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size").toPandas()
     with sqlite3.connect(at) as c:
-        c.execute('CREATE TABLE "source table" (p_partkey BIGINT, p_name TEXT, p_brand TEXT, p_size INT)')
-        c.executemany('INSERT INTO "source table" VALUES (?, ?, ?, ?)', rows.astype(object).values.tolist())
-    e.sql(f"CREATE EXTERNAL TABLE remote STORED AS TABLE OPTIONS('name' 'source table') LOCATION 'sqlite://{at}'")
+        c.execute('CREATE TABLE "parts on hand" (p_partkey BIGINT, p_name TEXT, p_brand TEXT, p_size INT)')
+        c.executemany('INSERT INTO "parts on hand" VALUES (?, ?, ?, ?)', rows.astype(object).values.tolist())
+    e.sql(f"CREATE EXTERNAL TABLE remote STORED AS TABLE OPTIONS('name' 'parts on hand') LOCATION 'sqlite://{at}'")
     return e.sql("SELECT p_partkey, p_name FROM staging.remote WHERE p_size > 25 AND (p_brand = 'Brand#11' OR p_partkey < 100)")
 
 
@@ -277,53 +277,60 @@ def _(spark, sf_dir):
     import base64
     import json
 
-    source = base64.b64encode(b"import numpy as np\ndef sintau(v):\n    return np.sin(2 * np.pi * v)\n").decode()
-    body = json.dumps({"entrypoint": "sintau", "language": "python", "input_types": ["double"], "return_type": "double", "data": source, "volatility": "Immutable"})
+    source = base64.b64encode(b"import numpy as np\ndef wave(v):\n    return np.sin(2 * np.pi * v)\n").decode()
+    body = json.dumps({"entrypoint": "wave", "language": "python", "input_types": ["double"], "return_type": "double", "data": source, "volatility": "Immutable"})
     e = loaded(spark, sf_dir, "lineitem")
-    e.sql(f"CREATE FUNCTION sintau AS '{body}'")
-    return e.sql("SELECT l_orderkey, l_linenumber, round(sintau(l_discount), 6) AS v FROM staging.lineitem")
+    e.sql(f"CREATE FUNCTION wave AS '{body}'")
+    return e.sql("SELECT l_orderkey, l_linenumber, round(wave(l_discount), 6) AS v FROM staging.lineitem")
 
 
 # -- change streams ---------------------------------------------------------------------------------------------------------
 
+_C3, _C4, _F4 = Column(VALUE, "c3"), Column(VALUE, "c4"), Column(CHANGED, "c4")
 _KEYS = [Column(OLD_PK, "c1"), Column(OLD_PK, "c2"), Column(NEW_PK, "c1"), Column(NEW_PK, "c2")]
-_TYPES = {OLD_PK: {"c1": "int", "c2": "string"}, NEW_PK: {"c1": "int", "c2": "string"}, VALUE: {"c3": "double", "c4": "string"}, CHANGED: {"c4": "boolean"}}
 
 
-def _message(spark: SparkSession, columns: list[Column], rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], ", ".join(f"f{k} {_TYPES[c.role][c.name]}" for k, c in enumerate(columns)) + ", _row bigint")
+def _partial_messages(spark: SparkSession, sf_dir: str) -> list[tuple[list[Column], DataFrame, int | None]]:
+    """Orders under a key of two columns, in messages that list only some columns: inserts, changes, moves, deletes, and inserts of what was deleted."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("s"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("t"))
+    k, s, p, t = (F.col(c) for c in "kspt")
+    none, nowhere = F.lit(None).cast("bigint"), F.lit(None).cast("string")
 
+    def message(df, old, new, *values):
+        cells = [*old, *new, *values]
+        return df.select(*[c.alias(f"f{n}") for n, c in enumerate(cells)], k.alias("_row"))
 
-def _sync_messages(spark: SparkSession) -> list[tuple[list[Column], list[tuple], int | None]]:
-    c3, c4, f4 = Column(VALUE, "c3"), Column(VALUE, "c4"), Column(CHANGED, "c4")
-    n = None
+    gone = o.where("k % 7 = 0 AND k % 5 <> 0")
     return [
-        ([*_KEYS, c3, c4, f4], [(n, n, 1, "one", 1.0, n, False), (n, n, 2, "two", 2.0, "two #1 in sync #1", True)], None),
-        ([*_KEYS, c4], [(1, "one", 1, "one", "one #1 in sync #2"), (n, n, 3, "three", n), (1, "one", 1, "1", n), (n, n, 4, "four", "four"), (1, "1", 1, "1", "one #2 in sync #2")], 1234),
-        ([*_KEYS, c3], [(n, n, 5, "five", 5.0), (2, "two", n, n, 2.0), (n, n, 6, "six", n)], 5600),
-        ([*_KEYS, c4, f4], [(n, n, 7, "seven", "seven", False), (6, "six", 6, "six", "six in sync #4", True), (n, n, 8, "eight", n, True), (4, "four", 2, "two", "four", True)], None),
-        ([*_KEYS, c3], [(3, "three", 3, "3", 3.3), (n, n, 9, "nine", n), (8, "eight", 8, "eight", 8.8), (n, n, 10, "ten", 10.0), (8, "eight", n, n, n)], 78910),
+        ([*_KEYS, _C3, _C4, _F4], message(o, (none, nowhere), (k, s), p, t, k % 2 == 0), None),
+        ([*_KEYS, _C4], message(o.where("k % 3 = 0"), (k, s), (k, s), F.concat(t, F.lit("2"))), 11),
+        ([*_KEYS, _C3], message(o.where("k % 5 = 0"), (k, s), (k, F.lit("moved")), p * 2), 12),
+        ([*_KEYS, _C4, _F4], message(gone, (k, s), (none, nowhere), t, F.lit(True)), None),
+        ([*_KEYS, _C3], message(gone.where("k % 2 = 0"), (none, nowhere), (k, s), -p), 30),
     ]
 
 
-_SYNCED = """SELECT * FROM (VALUES (1, '1', 1.0::DOUBLE, 'one #2 in sync #2'), (2, 'two', NULL, 'four'), (3, '3', 3.3, NULL), (5, 'five', 5.0, NULL), (6, 'six', NULL, 'six in sync #4'), (7, 'seven', NULL, NULL), (9, 'nine', NULL, NULL), (10, 'ten', 10.0, NULL)) t(c1, c2, c3, c4)"""
+_SYNCED = """SELECT o_orderkey AS c1, CASE WHEN o_orderkey % 5 = 0 THEN 'moved' ELSE o_orderpriority END AS c2,
+  CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 WHEN o_orderkey % 14 = 0 THEN -o_totalprice ELSE o_totalprice END AS c3,
+  CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 14 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '2' WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS c4
+FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 2 <> 0)"""
 
 
-def _synced(spark: SparkSession, flush_each: bool) -> DataFrame:
+def _synced(spark: SparkSession, sf_dir: str, flush_each: bool) -> DataFrame:
     from tidemark.plans.log import VersionedTable
 
     path = scratch(spark, "sync")
     writer = SyncWriter(spark)
-    for columns, rows, sequence in _sync_messages(spark):
-        writer.put(path, _message(spark, columns, rows), columns, "42", sequence)
+    for columns, rows, sequence in _partial_messages(spark, sf_dir):
+        writer.put(path, rows, columns, "42", sequence)
         if flush_each:
             writer.flush(path)
     writer.flush_all()
     return VersionedTable(spark, path).scan().select("c1", "c2", "c3", "c4")
 
 
-query("cdc_composite_pk", _SYNCED)(lambda spark, sf_dir: _synced(spark, True))
-query("cdc_partial_columns", _SYNCED)(lambda spark, sf_dir: _synced(spark, False))
+query("cdc_composite_pk", _SYNCED)(lambda spark, sf_dir: _synced(spark, sf_dir, True))
+query("cdc_partial_columns", _SYNCED)(lambda spark, sf_dir: _synced(spark, sf_dir, False))
 
 
 def _order_messages(spark: SparkSession, sf_dir: str) -> tuple[list[Column], list[DataFrame]]:

@@ -8,6 +8,8 @@ from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
 
 from tidemark.plans.tokens import SqlError
@@ -76,6 +78,7 @@ class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.name, self.schema = options["path"], options["table"], schema
         self.parts = int(options.get("partitions", 4))
+        self.limit = int(options["limit"]) if "limit" in options else None
         self.shipped: list[str] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
@@ -102,7 +105,7 @@ class SqliteReader(DataSourceReader):
         if part.lo is not None:
             where.append(f"rowid BETWEEN {part.lo} AND {part.hi}")
         names = ", ".join(quote_name(f.name, "sqlite") for f in self.schema.fields)
-        return f"SELECT {names} FROM {quote_name(self.name, 'sqlite')}" + (f" WHERE {' AND '.join(where)}" if where else "")
+        return f"SELECT {names} FROM {quote_name(self.name, 'sqlite')}" + (f" WHERE {' AND '.join(where)}" if where else "") + (f" LIMIT {self.limit}" if self.limit is not None else "")
 
     def read(self, part: _Range) -> Iterator[tuple]:
         kinds = [f.dataType.simpleString() for f in self.schema.fields]
@@ -149,22 +152,48 @@ class SqliteSource(DataSource):
         return SqliteReader(dict(self.options), schema)
 
 
-def read_remote(spark: SparkSession, location: str, name: str, schema=None) -> DataFrame:
+class RemoteTable:
+    """A table of another database. frame reads it: some columns, and so many rows at least if a limit is given."""
+
+    def __init__(self, spark: SparkSession, location: str, name: str, schema: T.StructType | None = None):
+        self.spark, self.name, self.declared = spark, name, schema
+        scheme = location.split(":", 1)[0].lower()
+        if scheme == "sqlite":
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+            spark.dataSource.register(SqliteSource)
+            path = location.split(":", 1)[1]
+            self.path, self.url = "/" + path.lstrip("/") if path.startswith("//") else path, None
+        elif scheme in ("postgresql", "postgres", "mysql"):
+            self.path, self.dialect = None, "mysql" if scheme == "mysql" else "postgres"
+            self.url = "jdbc:" + ("mysql" if scheme == "mysql" else "postgresql") + ":" + location.split(":", 1)[1]
+        else:
+            raise SqlError(f"Unsupported remote table location {location}")
+        self.stored = self._load().schema
+        #: The columns as they are seen here: those that were declared, by position, else those of the table.
+        self.schema = T.StructType([T.StructField(b.name, b.dataType, True) for _, b in zip(self.stored.fields, (schema or self.stored).fields)])
+
+    def _load(self, columns: T.StructType | None = None, limit: int | None = None) -> DataFrame:
+        if self.url:  # Spark's source ships columns, filters and limits by itself
+            return self.spark.read.format("jdbc").options(url=self.url, dbtable=quote_name(self.name, self.dialect), pushDownPredicate="true", pushDownLimit="true", pushDownAggregate="true").load()
+        read = self.spark.read.format("tidemark_sqlite").option("path", self.path).option("table", self.name)
+        if limit is not None:
+            read = read.option("limit", limit)
+        return (read.schema(columns) if columns else read).load()
+
+    def frame(self, columns: set[str] | None = None, limit: int | None = None) -> DataFrame:
+        """The rows, cast to the declared columns. Columns that are not asked for are null and not fetched.
+
+        limit: any so many rows are enough; it may be given only where all filters are shipped. A cast that a filter
+        stands behind stays here, and the filter with it.
+        """
+        pairs = list(zip(self.stored.fields, self.schema.fields))
+        wanted = [(a, b) for a, b in pairs if columns is None or b.name in columns] or pairs[:1]
+        cast = any(a.dataType != b.dataType for a, b in wanted)
+        df = self._load(T.StructType([a for a, _ in wanted]), None if cast else limit)
+        names = {b.name for _, b in wanted}
+        return df.select(*[(F.col(f"`{a.name}`") if b.name in names else F.lit(None)).cast(b.dataType).alias(b.name) for a, b in pairs])
+
+
+def remote_table(spark: SparkSession, location: str, name: str, schema: T.StructType | None = None) -> RemoteTable:
     """A remote table; with a schema its columns are cast to it. postgresql:// and mysql:// need their JDBC driver."""
-    scheme = location.split(":", 1)[0].lower()
-    if scheme == "sqlite":
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-        spark.dataSource.register(SqliteSource)
-        path = location.split(":", 1)[1]
-        df = spark.read.format("tidemark_sqlite").option("path", "/" + path.lstrip("/") if path.startswith("//") else path).option("table", name).load()
-    elif scheme in ("postgresql", "postgres", "mysql"):
-        url = "jdbc:" + ("mysql" if scheme == "mysql" else "postgresql") + ":" + location.split(":", 1)[1]
-        dialect = "mysql" if scheme == "mysql" else "postgres"
-        df = spark.read.format("jdbc").options(url=url, dbtable=quote_name(name, dialect), pushDownPredicate="true", pushDownLimit="true", pushDownAggregate="true").load()
-    else:
-        raise SqlError(f"Unsupported remote table location {location}")
-    if schema is not None:
-        from pyspark.sql import functions as F
-
-        df = df.select(*[F.col(f"`{a.name}`").cast(b.dataType).alias(b.name) for a, b in zip(df.schema.fields, schema.fields)])
-    return df
+    return RemoteTable(spark, location, name, schema)
