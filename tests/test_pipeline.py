@@ -247,8 +247,45 @@ def test_messages_become_changes(spark):
     desc = [("OLD_PK", "k"), ("NEW_PK", "k"), ("VALUE", "v"), ("CHANGED", "v"), ("VALUE", "w")]
     data = [("t", 1, 1, 1, desc, [None, "007", "a", "false", "b"]), ("t", 1, 1, 2, desc, ["7", None, None, "true", None]), ("t", 1, 1, 3, desc, None), ("t", 1, 1, 4, desc, ["1"])]
     df = spark.createDataFrame(data, f"tab string, version bigint, origin bigint, row_no int, column_descriptors {d}, cells array<string>").withColumn("_sets", F.lit(1)).withColumn("names", F.lit(2))
-    got = {r.row_no: (r.old_key, r.new_key, r.names, r["values"]) for r in patches.changes_of_messages(df, {"k": "bigint"}).collect()}
-    assert got[1] == (None, ["7"], ["w"], ["b"])
-    assert got[2] == (["7"], None, ["v", "w"], [None, None])
-    assert got[4][0] == ["1"]
-    assert patches.compose(patches.changes_of_messages(df.limit(0), {"k": "bigint"})).count() == 0
+    made = patches.changes_of_messages(patches.message_layouts(df, ["k"]), {"k": "bigint"})
+    got = {r.row_no: (r.old_key, r.new_key) for r in made.collect()}
+    assert got == {1: (None, ["7"]), 2: (["7"], None), 3: (None, None), 4: (["1"], None)}
+    sets = {r.key[0]: (r.alive, r.src, r.patch) for r in patches.compose(made, is_ordered=True).collect()}
+    assert sets == {"7": (False, None, {}), "1": (False, None, {})}
+    first = patches.changes_of_messages(patches.message_layouts(df.where("row_no = 1"), ["k"]), {"k": "bigint"})
+    assert [(r.key, r.patch) for r in patches.compose(first, is_ordered=True).collect()] == [(["7"], {"w": "b"})]  # the flag of v is false
+    assert patches.compose(patches.changes_of_messages(patches.message_layouts(df.limit(0), ["k"]), {"k": "bigint"}), is_ordered=True).count() == 0
+
+
+def test_state_of_the_whole_feed_equals_a_model(spark):
+    """All value columns of p5_state, against one dictionary that takes every row of the feed in order."""
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.queries import pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    c = duckdb.connect()
+    for t in ("sync_commands", "sync_changes", "table_objects", "storage_locations"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    placed = pipeline.P5_SQL[: pipeline.P5_SQL.index(", ops AS")]
+    feed = c.sql(placed + " SELECT k, v, o, row_no, d, cells FROM placed JOIN sync_changes USING (delivery_id) ORDER BY k, v, o, row_no").fetchall()
+    tables: dict = {}
+    last = None
+    for k, v, o, n, d, cells in feed:
+        if (k, v, o, n) == last:
+            continue
+        last = (k, v, o, n)
+        cell = {(x["role"], x["name"]): (cells or [])[i] if i < len(cells or []) else None for i, x in enumerate(d)}
+        key = lambda role: None if cell.get((role, "c1")) is None and cell.get((role, "c2")) is None else (int(cell[role, "c1"]), cell[role, "c2"])  # noqa: E731, B023
+        old, new = key("OLD_PK"), key("NEW_PK")
+        rows = tables.setdefault(k, {})
+        row = {} if old is None else rows.pop(old, ({}, 0))[0]
+        if new is not None:
+            row = {**row, **{x["name"]: cell["VALUE", x["name"]] for x in d if x["role"] == "VALUE" and (cell.get(("CHANGED", x["name"]), "true") or "").lower() == "true"}}
+            rows[new] = (row, v)
+    want = {(k, *key, *(row.get(f"c{n}") for n in range(3, 10)), v) for k, rows in tables.items() for key, (row, v) in rows.items()}
+    got = pipeline.p5_state(spark, sf).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -6,9 +6,11 @@ patched. Composition of two such functions is associative, so
 
 1. the feed is range-partitioned by table and order, and each chunk is folded into its entries where it lies, so even
    a single hot key is cut into chunks;
-2. neighbouring chunks of a table are composed pairwise in a tree, each level one shuffle by (table, chunk pair, key)
-   with at most three rows in a group;
-3. the last function is applied to the base table.
+2. the entries of a key that no change moves and that nothing moves to depend on no other key, so all chunks of it are
+   composed in one shuffle by (table, key), of at most one row a chunk;
+3. for the keys that moves tie together, neighbouring chunks of a table are composed pairwise in a tree, each level one
+   shuffle by (table, chunk pair, key) with at most three rows in a group;
+4. the last function is applied to the base table.
 
 Rules: a null old key inserts, a null new key deletes, otherwise the row at the old key moves to the new one. A row that
 arrives at an occupied key replaces what was there. A change of a row that is not there makes a new one. A value that a
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
+#: Separators of a layout: between its columns, and between a column's name, its cell and the cell of its flag.
+_NEXT, _PART = "\x1e", "\x1f"
 _ENTRY = "key array<string>, alive boolean, src array<string>, patch map<string,string>, version bigint"
 _SCHEMA = f"tab string, chunk int, {_ENTRY}"
 _ARROW = pa.schema(
@@ -70,17 +74,28 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
+    layouts: dict[str, list[tuple[str, int, int]]] = {}
     for b in batches:
-        tabs, versions, origins, rows, olds, news, names, values = (c.to_pylist() for c in b.columns)
-        for t, v, o, r, old, new, ks, vs in zip(tabs, versions, origins, rows, olds, news, names, values):
+        tabs, versions, origins, rows, olds, news, shapes, values = (c.to_pylist() for c in b.columns)
+        for t, v, o, r, old, new, shape, cells in zip(tabs, versions, origins, rows, olds, news, shapes, values):
             if t != tab:
                 yield from out()
                 tab, before, chunk = t, None, Chunk()
             if (v, o, r) == before:
                 continue  # the same change again
             before = (v, o, r)
-            if old is not None or new is not None:
-                chunk.change(None if old is None else tuple(old), None if new is None else tuple(new), dict(zip(ks or (), vs or ())), v)
+            if old is None and new is None:
+                continue
+            if shape not in layouts:
+                parts = (x.split(_PART) for x in (shape or "").split(_NEXT) if x)
+                layouts[shape] = [(name, int(at), int(flag)) for name, at, flag in parts]
+            patch = {}
+            if new is not None:
+                given = len(cells) if cells is not None else 0
+                for name, at, flag in layouts[shape]:
+                    if flag < 0 or flag < given and cells[flag] is not None and cells[flag].lower() == "true":
+                        patch[name] = cells[at] if at < given else None
+            chunk.change(None if old is None else tuple(old), None if new is None else tuple(new), patch, v)
     yield from out()
 
 
@@ -112,19 +127,56 @@ def _compose_level(entries: DataFrame) -> DataFrame:
     return met.select("tab", "width", "chunk", F.explode(kept).alias("e")).select("tab", "width", "chunk", "e.*")
 
 
-def compose(changes: DataFrame, chunks: int | None = None) -> DataFrame:
+def _compose_static(entries: DataFrame) -> DataFrame:
+    """The entries of keys that no move ties to others, over all chunks of a table: one list a key, composed in order."""
+    entry = F.struct("chunk", "alive", "src", "patch", "version")
+    moves = F.coalesce(F.col("src") != F.col("key"), F.lit(False))
+    own = F.struct(F.col("key").alias("at"), entry.alias("e"), moves.alias("tied"))
+    other = F.struct(F.col("src").alias("at"), F.when(F.lit(False), entry).alias("e"), F.lit(True).alias("tied"))
+    sent = entries.select("tab", "width", F.explode(F.when(moves, F.array(own, other)).otherwise(F.array(own))).alias("s"))
+    return sent.groupBy("tab", "width", F.col("s.at").alias("key")).agg(F.collect_list("s.e").alias("es"), F.max("s.tied").alias("tied"))
+
+
+def _in_order(es):
+    """A key's own entries, composed: a later one that goes on from the key itself is laid over the one before."""
+
+    def step(a, e):
+        patch = F.when(a["alive"], overlay(a["patch"], e["patch"])).otherwise(e["patch"])
+        on = F.struct(e["chunk"].alias("chunk"), e["alive"].alias("alive"), a["src"].alias("src"), patch.alias("patch"), e["version"].alias("version"))
+        return F.when(e["src"].isNull(), e).otherwise(on)
+
+    # In order of their chunks; maps have no order, so the entries are told apart by the chunk alone.
+    chunks = F.array_sort(F.transform(es, lambda e: e["chunk"]))
+    ordered = F.transform(chunks, lambda c: F.filter(es, lambda e: e["chunk"] == c)[0])
+    return F.when(F.size(es) == 1, es[0]).otherwise(F.aggregate(F.slice(ordered, 2, F.size(es)), ordered[0], step))
+
+
+def layout_of(names: list[str], flags: dict[str, int] | None = None) -> str:
+    """The layout of cells that hold the columns names in order; flags: the cell that says whether a column is set."""
+    return _NEXT.join(f"{name}{_PART}{k}{_PART}{(flags or {}).get(name, -1)}" for k, name in enumerate(names))
+
+
+def ordered(changes: DataFrame, chunks: int | None = None) -> DataFrame:
+    """changes in ranges of (tab, version, origin, row_no), sorted within each; done early, wide columns can be made after it."""
+    n = chunks or int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["tab", "version", "origin", "row_no"]
+    return changes.where("tab IS NOT NULL AND version IS NOT NULL").repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def compose(changes: DataFrame, chunks: int | None = None, is_ordered: bool = False) -> DataFrame:
     """The whole feed as one function: tab, key, alive, src, patch, version (of the last change), one row per key.
 
-    changes: tab, version, origin, row_no, old_key, new_key (arrays of text, null for no key), names, values (arrays:
-    what the change sets). They are applied by version, then row_no; origin tells apart changes of equal version and
-    row_no, which never touch the same key. Rows equal in tab, version, origin and row_no are one change. Rows with a null
-    tab or version are not applied. No changes give an empty result.
+    changes: tab, version, origin, row_no, old_key, new_key (arrays of text, null for no key), and what the change sets:
+    layout and cells (see layout_of; a column is set if it has no flag or its flag's cell is 'true'), or names and values
+    (arrays). They are applied by version, then row_no; origin tells apart changes of equal version and row_no, which never
+    touch the same key. Rows equal in tab, version, origin and row_no are one change. Rows with a null tab or version are not
+    applied. No changes give an empty result. is_ordered: changes come from ordered().
     """
-    spark = changes.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["tab", "version", "origin", "row_no"]
-    feed = changes.where("tab IS NOT NULL AND version IS NOT NULL").select(*order, "old_key", "new_key", "names", "values")
-    folded = feed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_fold, _SCHEMA)
+    if "layout" not in changes.columns:
+        named = F.transform("names", lambda n, k: F.concat(n, F.lit(_PART), k.cast("string"), F.lit(f"{_PART}-1")))
+        changes = changes.withColumns({"layout": F.array_join(named, _NEXT), "cells": F.col("values")})
+    feed = changes.select("tab", "version", "origin", "row_no", "old_key", "new_key", "layout", "cells")
+    folded = (feed if is_ordered else ordered(feed, chunks)).mapInArrow(_fold, _SCHEMA)
     folded = materialize(folded, "folded")
     # A table in more than one chunk crosses a border between chunks, so there are fewer of these than chunks.
     spans = folded.groupBy("tab").agg(F.min("chunk").alias("_lo"), F.max("chunk").alias("_hi")).where("_lo < _hi")
@@ -132,14 +184,20 @@ def compose(changes: DataFrame, chunks: int | None = None) -> DataFrame:
     placed = folded.join(spans, F.col("tab") == F.col("_tab"), "left").withColumn("width", F.coalesce(F.col("_hi") - F.col("_lo") + 1, F.lit(1)))
     placed = placed.withColumn("chunk", F.coalesce(F.col("chunk") - F.col("_lo"), F.lit(0))).drop("_tab", "_lo", "_hi")
     # A table leaves the tree as soon as it is one chunk, so later levels have only the largest tables' entries.
-    done, tree = placed.where("width = 1"), placed.where("width > 1")
+    done, wide = placed.where("width = 1").drop("chunk", "width"), placed.where("width > 1")
     width = folded.groupBy("tab").agg((F.max("chunk") - F.min("chunk") + 1).alias("w")).agg(F.max("w")).head()[0] or 1
+    if width == 1:
+        return done
+    split = materialize(_compose_static(wide), "split")
+    alone = split.where("NOT tied").select("tab", "key", _in_order(F.col("es")).alias("e"))
+    done = done.unionByName(alone.select("tab", "key", "e.alive", "e.src", "e.patch", "e.version"))
+    tree = split.where("tied").select("tab", "width", "key", F.explode("es").alias("e")).select("tab", "width", "key", "e.*")
     while width > 1:
         level = materialize(_compose_level(tree), "tree")
-        done = done.unionByName(level.where("width = 1"))
+        done = done.unionByName(level.where("width = 1").drop("chunk", "width"))
         tree = level.where("width > 1")
         width = -(-width // 2)
-    return done.drop("chunk", "width")
+    return done
 
 
 def apply_patches(function: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -159,27 +217,32 @@ def apply_patches(function: DataFrame, base: DataFrame | None = None) -> DataFra
     return rest.select("tab", "key", "values", "version").unionByName(moved)
 
 
-def changes_of_messages(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Changes for compose: rows have tab, version, origin, row_no, and cells with column_descriptors (role, name).
+def message_layouts(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """messages with layout, old_at and new_at in place of column_descriptors (role, name): where a row's cells belong.
+
+    keys: the key columns, in order; old_at and new_at are the cells of OLD_PK and NEW_PK, null for one that is not there. A
+    VALUE is set if its column has no CHANGED flag or the flag's cell is 'true'.
+    """
+    d = F.transform("column_descriptors", lambda x, k: F.struct(x["role"].alias("role"), x["name"].alias("name"), k.alias("k")))
+    place = lambda role, name: F.get(F.filter("_d", lambda x: (x["role"] == role) & (x["name"] == name)), 0)["k"]
+    value = lambda x: F.concat(x["name"], F.lit(_PART), x["k"].cast("string"), F.lit(_PART), F.coalesce(place("CHANGED", x["name"]), F.lit(-1)).cast("string"))
+    layout = F.array_join(F.transform(F.filter("_d", lambda x: (x["role"] == "VALUE") & x["name"].isNotNull()), value), _NEXT)
+    at = lambda role: F.array(*[place(role, n) for n in keys])
+    return messages.withColumn("_d", d).withColumns({"layout": layout, "old_at": at("OLD_PK"), "new_at": at("NEW_PK")}).drop("_d", "column_descriptors")
+
 
-    Cell i belongs to descriptor i; a row with null or too few cells has nulls there. Other columns are not read.
+def changes_of_messages(rows: DataFrame, keys: dict[str, str], chunks: int | None = None) -> DataFrame:
+    """Ordered changes for compose: rows have tab, version, origin, row_no and cells, with layout, old_at and new_at of their message.
+
+    A row with null or too few cells has nulls there. Other columns are not read.
 
     keys: name and type of each key column, in order; key cells are brought to one spelling through the type. A key
-    is null if all its cells are. A VALUE is set if its column has no CHANGED flag or the flag is true.
+    is null if all its cells are.
     """
-    cells = F.zip_with("column_descriptors", "cells", lambda d, c: F.struct(d["role"].alias("role"), d["name"].alias("name"), c.alias("cell")))
-    z = F.col("_cells")
-
-    def cell(role: str, name: str):
-        return F.get(F.filter(z, lambda x: (x["role"] == role) & (x["name"] == name)), 0)["cell"]
+    rows = ordered(rows.select("tab", "version", "origin", "row_no", "layout", "old_at", "new_at", "cells"), chunks)
 
-    def key(role: str):
-        parts = [cell(role, name).try_cast(kind).cast("string") for name, kind in keys.items()]
+    def key(at: str):
+        parts = [F.get("cells", F.col(at)[k]).try_cast(kind).cast("string") for k, kind in enumerate(keys.values())]
         return F.when(F.coalesce(*parts).isNotNull(), F.array(*parts))
 
-    off = F.transform(F.filter(z, lambda x: (x["role"] == "CHANGED") & ~F.coalesce(F.lower(x["cell"]) == "true", F.lit(False))), lambda x: x["name"])
-    sets = F.filter(z, lambda x: (x["role"] == "VALUE") & ~F.array_contains(F.col("_off"), x["name"]))
-    rows = rows.select("tab", "version", "origin", "row_no", "column_descriptors", "cells")
-    out = rows.withColumn("_cells", cells).withColumn("_off", off).withColumn("_sets", sets)
-    out = out.withColumn("old_key", key("OLD_PK")).withColumn("new_key", key("NEW_PK"))
-    return out.withColumns({"names": F.transform("_sets", lambda x: x["name"]), "values": F.transform("_sets", lambda x: x["cell"])}).drop("_cells", "_off", "_sets")
+    return rows.withColumns({"old_key": key("old_at"), "new_key": key("new_at")}).drop("old_at", "new_at")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.patches import compose
+from tidemark.operators.patches import compose, layout_of
 from tidemark.plans.log import CommitConflict, DataFile, VersionedTable
 from tidemark.plans.pruning import bounds as bounds_of
 from tidemark.plans.tokens import SqlError
@@ -76,11 +76,12 @@ class SyncSchema:
             parts = [text(col[role, n]) for n in self.keys]
             return F.when(F.coalesce(*parts).isNotNull(), F.array(*parts))
 
-        sets = [F.when(F.coalesce(col[CHANGED, n], F.lit(False)) if (CHANGED, n) in col else F.lit(True), F.struct(F.lit(n).alias("n"), text(col[VALUE, n]).alias("v"))) for n in self.values]
-        sets = F.array_compact(F.array(*sets)) if sets else F.array().cast("array<struct<n:string,v:string>>")
+        flags = [n for n in self.values if (CHANGED, n) in col]
+        cells = [*(text(col[VALUE, n]) for n in self.values), *(text(col[CHANGED, n]) for n in flags)]
+        layout = layout_of(self.values, {n: len(self.values) + k for k, n in enumerate(flags)})
         return df.select(
             F.lit("t").alias("tab"), F.lit(version).cast("bigint").alias("version"), F.lit(0).cast("bigint").alias("origin"), F.col("_row").alias("row_no"),
-            key(OLD_PK).alias("old_key"), key(NEW_PK).alias("new_key"), F.transform(sets, lambda s: s["n"]).alias("names"), F.transform(sets, lambda s: s["v"]).alias("values"),
+            key(OLD_PK).alias("old_key"), key(NEW_PK).alias("new_key"), F.lit(layout).alias("layout"), F.array(*cells).cast("array<string>").alias("cells"),
         )
 
 
