@@ -1,11 +1,11 @@
 """Evaluation texts that leak into training text (problem 7).
 
 Both sides are sequences of words. Every window of `size` words of an item and of a document is mapped by a CGK random
-walk (Chakraborty, Goldenberg, Koucky, STOC 2016) from edit distance to Hamming distance: step j emits the word under the
-pointer, and a random bit of (j, word), the same for all windows, says whether the pointer moves on. Bit-sampling LSH
-takes some of the emitted words as the key of a window; windows with equal keys are candidates, and each is verified by
-its exact edit distance. Equal windows always have equal keys, so with max_edits = 0 one repetition finds everything;
-for max_edits > 0 the repetitions are raised until the expected recall reaches the target.
+walk (Chakraborty, Goldenberg, Koucky, STOC 2016) of 3 * size steps from edit distance to Hamming distance: step j emits
+the word under the pointer, and a random bit of (j, word), the same for all windows, says whether the pointer moves on.
+Bit-sampling LSH takes some of the emitted words as the key of a window; windows with equal keys are candidates, and each is
+verified by its exact edit distance. The repetitions follow from the share of equal steps that edits leave, which is
+simulated, so that the expected recall reaches its target. Equal windows always have equal keys and are all found.
 
 Keys are made lazily: a window is given up as soon as the words sampled so far begin no item's key.
 """
@@ -15,56 +15,131 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.texts import portions
-from tidemark.session import spread
+from tidemark.session import materialize, spread
 
 #: Words of a window: this many consecutive words of an item make a leak.
 WINDOW = 25
-#: Sampled coordinates of a key.
+#: Sampled coordinates of a key; half of them from the first third of the walk.
 SAMPLES = 6
 #: Expected share of the true pairs within max_edits that is found.
 RECALL = 0.95
 SEED = 20_240_501
-#: Items are searched for in blocks of at most this many characters, so that what is broadcast is bounded.
+#: Items of at most so many characters are indexed once and broadcast; more are indexed by the executors and joined.
 BLOCK_CHARS = 16_000_000
+#: Bits of the bitmaps of words and keys that are broadcast where items are joined.
+BITMAP_BITS = 1 << 27
+#: Pairs of windows whose edit distances are computed together.
+VERIFIED = 50_000
 
 _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """The longest runs of letters, digits and underscores, in lower case; none for null."""
+    """The longest runs of letters, digits and underscores, in lower case; none for null. Both small sigmas are one letter."""
     if not text:
         return []
     if "İ" in text:  # its lower case is two characters, of which the second is no letter
-        return [w.lower() for w in _WORD.findall(text)]
-    return _WORD.findall(text.lower())
+        return [w.lower().replace("ς", "σ") for w in _WORD.findall(text)]
+    low = text.lower()
+    return _WORD.findall(low.replace("ς", "σ") if "ς" in low else low)
+
+
+def _hash(word: str) -> int:
+    """64 bits of a word; 0 stands for no word."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+
+
+def _mixed(x: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """Well mixed bits of numbers under a seed."""
+    with np.errstate(over="ignore"):
+        z = (x ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(32))
+
+
+@lru_cache(None)
+def equal_steps(size: int, edits: int, pairs: int = 100, walks: int = 30) -> np.ndarray:
+    """Of simulated pairs of windows so many random edits apart, the share of steps at which they agree: a row for each pair, a column for each walk."""
+    rng = np.random.default_rng(SEED)
+    found = np.zeros((pairs, walks))
+    for n in range(pairs):
+        x = list(range(1, size + 1))
+        y = list(x)
+        for e in range(edits):
+            kind, at = rng.integers(3), int(rng.integers(len(y)))
+            if kind == 0:
+                y[at] = size + 1 + e
+            elif kind == 1:
+                y.insert(at, size + 1 + e)
+            else:
+                del y[at]
+        y = (y + [size + 100 + k for k in range(edits)])[:size]
+        for w in range(walks):
+            p = q = same = 0
+            for row in rng.integers(0, 2, (3 * size, size + 100 + edits), dtype=np.int8).tolist():
+                a, b = x[p] if p < size else 0, y[q] if q < size else 0
+                same += a == b
+                p, q = p + row[a], q + row[b]
+            found[n, w] = same / (3 * size)
+    return found
 
 
 def repetitions(size: int, samples: int, max_edits: int, recall: float) -> int:
-    """Keys that a window needs. CGK walks of 3 n steps differ in O(k^2) places for k edits; 8 k^2 is taken, as walks part for long now and then."""
+    """Keys that a window needs so that the expected share of pairs max_edits apart that agree in one of them is recall."""
     if max_edits == 0:
         return 1
-    agree = max(0.05, 1 - 8 * max_edits**2 / (3 * size)) ** samples
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+    agree = (equal_steps(size, max_edits) ** samples).mean(axis=1)
+    for n in range(1, 1000):
+        if 1 - ((1 - agree) ** n).mean() >= recall:
+            return n
+    raise ValueError(f"{max_edits} edits in {size} words leave too little in common")
+
+
+def edit_distances(items: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each row the least edit distance between the item's words and any beginning of the document's words.
+
+    docs may be longer than items; 0 in docs is no word and equals none.
+    """
+    steps = np.arange(docs.shape[1] + 1)
+    row = np.tile(steps, (len(docs), 1))
+    for i in range(items.shape[1]):
+        above = np.minimum(row[:, :-1] + ((docs != items[:, i : i + 1]) | (docs == 0)), row[:, 1:] + 1)
+        new = np.concatenate([np.full((len(docs), 1), i + 1), above], axis=1) - steps
+        row = np.minimum.accumulate(new, axis=1) + steps
+    return row.min(axis=1)
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Exact edit distance, or most + 1 if it is greater."""
-    row = np.arange(len(b) + 1)
-    for i, x in enumerate(a.tolist(), 1):
-        above = np.minimum(row[:-1] + (b != x), row[1:] + 1)
-        new = np.append(i, above)
-        new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-        if new.min() > most:
-            return most + 1
-        row = new
-    return int(min(row[-1], most + 1))
+class Walks:
+    """The random walks of all repetitions and the steps that are sampled from each."""
+
+    def __init__(self, size: int, samples: int = SAMPLES, max_edits: int = 0, recall: float = RECALL, seed: int = SEED):
+        self.size, self.max_edits = size, max_edits
+        rng = np.random.default_rng(seed)
+        self.rounds: list[tuple[np.ndarray, np.ndarray]] = []
+        early = min(size, samples - samples // 2)
+        for _ in range(repetitions(size, samples, max_edits, recall)):
+            steps = np.append(rng.choice(size, early, replace=False), size + rng.choice(2 * size, min(samples // 2, 2 * size), replace=False))
+            self.rounds.append((np.sort(steps), rng.integers(0, 1 << 63, int(steps.max()) + 1, dtype=np.uint64)))
+
+    def keys(self, number: int, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The whole key, 64 bits, of each window hashes[start : end] in one repetition."""
+        steps, seeds = self.rounds[number]
+        at, key, wanted = start.copy(), np.full(len(start), number + 1, np.uint64), set(steps.tolist())
+        for j, seed in enumerate(seeds):
+            symbol = np.where(at < end, hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
+            if j in wanted:
+                key = _mixed(key * np.uint64(3) + symbol, np.uint64(SEED))
+            at += (_mixed(symbol, seed) & np.uint64(1)).astype(np.int64)
+        return key
 
 
 class ItemIndex:
@@ -80,16 +155,14 @@ class ItemIndex:
                 windows.setdefault(tuple(symbols[i : i + size]), set()).add(item)
         self.windows = np.array(list(windows), np.int32).reshape(len(windows), size)
         self.items = [sorted(x) for x in windows.values()]
+        hashes = np.array([0, *map(_hash, self.vocabulary)], np.uint64)
         self.rounds = []
-        rng = np.random.default_rng(seed)
-        for _ in range(repetitions(size, samples, max_edits, recall)):
-            # Coordinates from early steps come cheap; all of the walk is in reach when edits are allowed.
-            reach = 3 * size if max_edits else size
-            steps = np.sort(rng.choice(reach, min(samples, reach), replace=False))
-            moves = rng.integers(0, 2, (steps[-1] + 1, len(self.vocabulary) + 1)).astype(np.int32)
+        for steps, seeds in Walks(size, samples, max_edits, recall, seed).rounds:
+            moves = np.stack([(_mixed(hashes, s) & np.uint64(1)).astype(np.int32) for s in seeds])
             keys = np.zeros(len(self.windows), np.int64)
             stages = []
-            for coordinate in self._walk(self.windows.ravel(), np.arange(len(self.windows)) * size, steps, moves):
+            start = np.arange(len(self.windows)) * size
+            for coordinate in self._walk(self.windows.ravel(), start, steps, moves):
                 # A prefix of the key is numbered among the items' prefixes.
                 keys, kept = self._number(keys, coordinate)
                 stages.append(kept)
@@ -118,16 +191,15 @@ class ItemIndex:
         get = self.vocabulary.get
         return [get(w, 0) for w in words_of(text)]
 
-    def search(self, flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Verified pairs (index into start, window number); flat[s : s + size] is the window at each s of start."""
+    def candidates(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (index into start, window number) with equal keys; flat[s : e] is the window at each s of start."""
         found = []
         for steps, moves, stages, order, begin in self.rounds:
             alive, at = np.arange(len(start)), start.copy()
             key = np.zeros(len(start), np.int64)
             stage, wanted = 0, set(steps.tolist())
             for j in range(steps[-1] + 1):
-                end = start[alive] + self.size
-                symbol = np.where(at < end, flat[np.minimum(at, end - 1)], 0)
+                symbol = np.where(at < end[alive], flat[np.minimum(at, end[alive] - 1)], 0)
                 if j in wanted:
                     kept = stages[stage]
                     both = key * (len(self.vocabulary) + 1) + symbol
@@ -145,78 +217,147 @@ class ItemIndex:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         pos, window = np.unique(np.concatenate(found, axis=1), axis=1)
-        ok = np.zeros(len(pos), bool)
-        for i in range(0, len(pos), 100_000):
-            p, w = start[pos[i : i + 100_000]], window[i : i + 100_000]
-            there = flat[p[:, None] + np.arange(self.size)]
-            same = (there == self.windows[w]).all(axis=1)
-            if self.max_edits:
-                for k in np.flatnonzero(~same):
-                    same[k] = edit_distance(there[k], self.windows[w[k]], self.max_edits) <= self.max_edits
-            ok[i : i + 100_000] = same
-        return pos[ok], window[ok]
-
-    def find(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
-        """Pairs (index of the text, item id), each once."""
-        docs: list[int] = []
-        items: list[int] = []
+        return pos, window
+
+    def find(self, texts: list[str | None]) -> tuple[list[int], list[int], list[int]]:
+        """(index of the text, item id, least edits between windows of both), each pair once."""
+        best: dict[tuple[int, int], int] = {}
         if not len(self.windows):
-            return docs, items
-        lists = [self.symbols(t) for t in texts]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((s for x in lists for s in x), np.int32, int(sizes.sum()))
-        doc = np.repeat(np.arange(len(lists)), sizes)
-        n = len(flat) - self.size + 1
-        if n <= 0:
-            return docs, items
-        # Each word that no item has costs an edit, so a window with more of them than max_edits can't match.
-        strange = np.append(0, np.cumsum(flat == 0))
-        start = np.flatnonzero((strange[self.size :] - strange[:-self.size] <= self.max_edits) & (doc[:n] == doc[self.size - 1 :]))
-        pos, window = self.search(flat, start)
-        pairs = np.unique(np.stack([doc[start[pos]], window]), axis=1)
-        seen = {(d, i) for d, w in pairs.T.tolist() for i in self.items[w]}
-        for d, i in sorted(seen):
-            docs.append(d), items.append(i)
-        return docs, items
-
-
-def item_blocks(items: DataFrame, item: str, text: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The items, streamed to the driver one partition at a time, in blocks of bounded size. Nulls are left out."""
-    block, size = [], 0
-    for r in items.select(item, text).where(F.col(item).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+            return [], [], []
+        flat, doc, start, end, last = _windows([self.symbols(t) for t in texts], self.size, self.max_edits, np.int32)
+        pos, window = self.candidates(flat, start, end)
+        exact = np.zeros(len(pos), bool)
+        padded = np.append(flat, np.zeros(self.size + self.max_edits, np.int32))
+        for i in range(0, len(pos), VERIFIED):
+            p, w = pos[i : i + VERIFIED], window[i : i + VERIFIED]
+            there = padded[start[p][:, None] + np.arange(self.size)]
+            exact[i : i + VERIFIED] = (there == self.windows[w]).all(axis=1) & (end[p] - start[p] == self.size)
+        for p, w in np.unique(np.stack([doc[start[pos[exact]]], window[exact]]), axis=1).T.tolist():
+            for item in self.items[w]:
+                best[p, item] = 0
+        if self.max_edits:
+            # Pairs that share an equal window are settled; the rest is measured.
+            rest = [r for r in np.flatnonzero(~exact).tolist() if any(best.get((int(doc[start[pos[r]]]), x), 9) for x in self.items[window[r]])]
+            reach = self.size + self.max_edits
+            for i in range(0, len(rest), VERIFIED):
+                r = np.array(rest[i : i + VERIFIED])
+                s = start[pos[r]]
+                there = padded[s[:, None] + np.arange(reach)]
+                there[s[:, None] + np.arange(reach) >= last[doc[s]][:, None]] = 0
+                edits = edit_distances(self.windows[window[r]], there)
+                for d, w, e in zip(doc[s].tolist(), window[r].tolist(), edits.tolist()):
+                    if e <= self.max_edits:
+                        for item in self.items[w]:
+                            best[d, item] = min(e, best.get((d, item), e))
+        rows = sorted((d, i, e) for (d, i), e in best.items())
+        return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+
+
+def _windows(lists: list[list], size: int, max_edits: int, kind) -> tuple[np.ndarray, ...]:
+    """All words in one array, the text of each, and begin and end of each window with at most max_edits unknown words (0).
+
+    At a text's end windows may be shorter by max_edits words. last: the end of each text.
+    """
+    sizes = np.array([len(x) for x in lists], np.int64)
+    last = np.cumsum(sizes)
+    flat = np.fromiter((s for x in lists for s in x), kind, int(sizes.sum()))
+    doc = np.repeat(np.arange(len(lists)), sizes)
+    start = np.arange(len(flat))
+    end = np.minimum(start + size, last[doc]) if len(flat) else start
+    strange = np.append(0, np.cumsum(flat == 0))
+    ok = (end - start >= size - max_edits) & (strange[end] - strange[start] + size - (end - start) <= max_edits)
+    return flat, doc, start[ok], end[ok], last
+
+
+def _bitmap(bits: DataFrame) -> np.ndarray:
+    """The bits named in a column, of BITMAP_BITS; what comes to the driver is bounded by that."""
+    words = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("v")).toArrow()
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _has(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
+    bit = x % np.uint64(BITMAP_BITS)
+    return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _joined(documents: DataFrame, items: DataFrame, walks: Walks) -> DataFrame:
+    """(doc, item, edits) for items of any number: executors make the keys of both sides, which are joined and verified.
+
+    documents, items: (id, text). Bitmaps of the items' words and keys keep all but the likely windows out of the shuffle.
+    """
+    spark, size, most = documents.sparkSession, walks.size, walks.max_edits
+    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+
+    def rows(ids: pa.Array, texts: list, known, wide: int) -> Iterator[pa.RecordBatch]:
+        for i, j in portions(texts):
+            lists = [[_hash(w) for w in words_of(t)] for t in texts[i:j]]
+            if known is not None:
+                lists = [np.where(_has(known[0], np.array(x, np.uint64)), np.array(x, np.uint64), np.uint64(0)).tolist() for x in lists]
+            flat, doc, start, end, last = _windows(lists, size, 0 if known is None else most, np.uint64)
+            padded = np.append(flat, np.zeros(wide, np.uint64))
+            for n in range(len(walks.rounds) if len(start) else 0):
+                key = walks.keys(n, flat, start, end)
+                some = np.flatnonzero(_has(known[1], key)) if known is not None else np.arange(len(key))
+                for a in range(0, len(some), VERIFIED):
+                    r = some[a : a + VERIFIED]
+                    there = padded[start[r][:, None] + np.arange(wide)]
+                    there[start[r][:, None] + np.arange(wide) >= last[doc[start[r]]][:, None]] = 0
+                    words = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * wide), signed(there.ravel()))
+                    yield pa.RecordBatch.from_arrays([signed(key[r]), ids.slice(i, j - i).take(pa.array(doc[start[r]])).cast(pa.int64()), words], ["key", "id", "words"])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from rows(b.column(0), b.column(1).to_pylist(), None, size)
+
+    schema = "key bigint, id bigint, words array<bigint>"
+    indexed = materialize(spread(items).mapInArrow(index, schema).distinct(), "items")
+    bit = lambda c: F.expr(f"cast(pmod(cast({c} as decimal(20,0)) + if({c} < 0, 18446744073709551616, 0), {BITMAP_BITS}) as bigint)").alias("bit")
+    known = spark.sparkContext.broadcast((_bitmap(indexed.select(F.explode("words").alias("w")).select(bit("w"))), _bitmap(indexed.select(bit("key")))))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from rows(b.column(0), b.column(1).to_pylist(), known.value, size + most)
+
+    found = spread(documents).mapInArrow(search, schema).select("key", F.col("id").alias("doc"), F.col("words").alias("there"))
+    pairs = found.join(indexed.select("key", F.col("id").alias("item"), "words"), "key").select("doc", "item", "there", "words")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                there, words = (np.stack(b.column(k).to_numpy(zero_copy_only=False)) for k in (2, 3))
+                edits = edit_distances(words, there)
+                ok = pa.array(edits <= most)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(edits).filter(ok)], ["doc", "item", "edits"])
+
+    return pairs.mapInArrow(verify, "doc bigint, item bigint, edits bigint")
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", size: int = WINDOW, max_edits: int = 0, recall: float = RECALL) -> DataFrame:
-    """(doc, item): each pair in which the document contains size consecutive words of the item, up to max_edits edits.
+    """(doc, item, edits): each pair in which the document contains size consecutive words of the item, up to max_edits edits.
 
-    Items are the query set: they are broadcast in blocks of at most BLOCK_CHARS characters, and all documents are
-    searched for each block, whole, whatever their length. Null and empty texts, and items of fewer than size words,
-    give no rows; a document or item that is there twice under one id gives its pair once for each of its rows' batch,
-    so the result is made distinct. Columns other than those named are not read.
+    edits is the least number found. Pairs with 0 edits are all found, of those with more at least the share recall is
+    expected. All documents are searched, whole, whatever their length. Items are the query set: up to BLOCK_CHARS
+    characters of them are indexed on the driver and broadcast, more are indexed by the executors and joined. Null and empty
+    texts, and items of fewer than size words, give no rows; a document or item that is there twice under one id gives its
+    pair once. Columns other than those named are not read.
     """
     spark = documents.sparkSession
-    out, searched = None, spread(documents.select(doc, text))
-    for block in item_blocks(items, item, text):
-        index = spark.sparkContext.broadcast(ItemIndex(block, size, max_edits=max_edits, recall=recall))
+    named = items.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("text"))
+    searched = documents.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    total = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
+    if total > BLOCK_CHARS:
+        out = _joined(searched, named, Walks(size, max_edits=max_edits, recall=recall))
+    else:
+        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in named.collect()], size, max_edits=max_edits, recall=recall))
 
-        def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts, docs, found = b.column(1).to_pylist(), [], []
+                texts = b.column(1).to_pylist()
                 for i, j in portions(texts):
-                    d, items_ = index.value.find(texts[i:j])
-                    docs += [i + x for x in d]
-                    found += items_
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())).cast(pa.int64()), pa.array(found, pa.int64())], [doc, item])
-
-        part = searched.mapInArrow(work, f"`{doc}` bigint, `{item}` bigint")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"`{doc}` bigint, `{item}` bigint")
-    return out.distinct()
+                    d, found, edits = index.value.find(texts[i:j])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + x for x in d], pa.int64())), pa.array(found, pa.int64()), pa.array(edits, pa.int64())], ["doc", "item", "edits"])
+
+        out = spread(searched).mapInArrow(work, "doc bigint, item bigint, edits bigint")
+    return out.groupBy("doc", "item").agg(F.min("edits").cast("int").alias("edits")).select(F.col("doc").alias(doc), F.col("item").alias(item), "edits")
