@@ -9,6 +9,7 @@ then again over all texts as the first labelling restores them. Each labelled sp
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import pieces, portions
+from tidemark.llm.texts import portions
 from tidemark.session import materialize, spread
 
 # Names of encodings. Pairs (written, read); 'cp1252' as what text was read with also stands for latin-1.
@@ -47,6 +48,10 @@ BACKOFF, FLAT = 20.0, 50.0
 
 #: Characters whose likelihoods under all states are in memory at once.
 PIECE = 200_000
+#: Characters that the memory of explained stretches holds.
+WIDE_CACHE = 5_000_000
+#: ASCII characters of class 0 that no garbled character reaches over.
+_BORDER = re.compile(r"[\x00-\x2f\x3a-\x3f\x7f]")
 
 _CLASSES = 8
 
@@ -137,37 +142,57 @@ def restore_chars(pair: tuple[str, str], c: np.ndarray) -> tuple[np.ndarray, np.
     return np.where(b >= 0, writes[written][np.maximum(b, 0)], -1), none
 
 
+_LOST_HANDLER = "tidemark-lost"
+# A lost byte is given back as one that is no UTF-8; other characters that an encoding lacks as a mark.
+codecs.register_error(_LOST_HANDLER, lambda e: (b"".join(b"\xff" if ch == "\ufffd" else b"?" for ch in e.object[e.start : e.end]), e.end))
+
+
 class CleanModel:
     """Likelihood of a non-ASCII character of clean text, given the classes of its neighbours."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        """keys: (previous class * 8 + next class) << 21 | code point, ascending; counts of each."""
-        self.keys = np.append(keys.astype(np.int64), np.iinfo(np.int64).max)
-        self.counts = np.append(counts.astype(float), 0)
+        """keys: (previous class * 8 + next class) << 21 | code point; counts of each."""
         cp, ctx = keys & 0x1FFFFF, keys >> 21
-        self.single = np.bincount(cp, counts, 0x110000) if len(keys) else np.zeros(0x110000)
-        self.context = np.bincount(ctx, counts, _CLASSES * _CLASSES) if len(keys) else np.zeros(_CLASSES * _CLASSES)
-        total = self.single.sum()
-        flat = 1e-5 * FLAT
-        self.single = (self.single + flat) / (total + FLAT)
+        counts = counts.astype(float)
+        single = np.bincount(cp, counts, 0x110000) if len(keys) else np.zeros(0x110000)
+        context = np.bincount(ctx, counts, _CLASSES * _CLASSES) if len(keys) else np.zeros(_CLASSES * _CLASSES)
+        total = single.sum()
         # No clean text has the mark of a lost byte, control characters or private ones.
-        self.single[0x80:0xA0] = self.single[LOST] = self.single[0xE000:0xF900] = 1e-9
-        self.never = np.zeros(0x110000, bool)
-        self.never[0x80:0xA0] = self.never[LOST] = self.never[0xE000:0xF900] = True
+        never = np.zeros(0x110000, bool)
+        never[0x80:0xA0] = never[LOST] = never[0xE000:0xF900] = True
+        # One column for each character that was seen, before them one for all others and one for those that never are clean.
+        seen = np.unique(cp[~never[cp]])
+        self.place = np.zeros(0x110000, np.int32)
+        self.place[never] = 1
+        self.place[seen] = np.arange(2, len(seen) + 2)
+        alone = np.concatenate([[1e-5 * FLAT / (total + FLAT), 1e-9], (single[seen] + 1e-5 * FLAT) / (total + FLAT)])
+        n = np.zeros((_CLASSES * _CLASSES, len(alone)))
+        kept = ~never[cp]
+        n[ctx[kept], self.place[cp[kept]]] = counts[kept]
+        self.width = len(alone)
+        self.table = np.log((n + BACKOFF * alone) / (context[:, None] + BACKOFF)).astype(np.float32).ravel()
 
     def log(self, cp: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """cp: code points, all >= 0; before and after: neighbours' classes."""
-        ctx = before.astype(np.int64) * _CLASSES + after
-        key = (ctx << 21) | cp
-        at = np.searchsorted(self.keys, key)
-        n = np.where((self.keys[at] == key) & ~self.never[cp], self.counts[at], 0)
-        return np.log((n + BACKOFF * self.single[cp]) / (self.context[ctx] + BACKOFF))
+        return self.look_up(self.place[cp], before, after)
+
+    def look_up(self, place: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The same for characters that are given by their columns."""
+        return self.table[(before.astype(np.int32) * _CLASSES + after) * self.width + place]
+
+
+def codes_of(texts: list[str]) -> np.ndarray:
+    """Code points of all texts, with a line end after each."""
+    joined = "\n".join(texts) + "\n"
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
 
 
 def foreign_characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points, place in the joined texts, text number) of all non-ASCII characters and the ones beside them."""
-    joined = "\n".join(texts) + "\n"
-    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    return _foreign(codes_of(texts), texts)
+
+
+def _foreign(c: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     high = c > 0x7F
     keep = high.copy()
     keep[1:] |= high[:-1]
@@ -179,11 +204,14 @@ def foreign_characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _neighbours(cls: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the characters before and after each; 0 where the one beside it was not kept."""
+    return _beside(cls, np.diff(at) == 1)
+
+
+def _beside(cls: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the characters before and after each, 0 where the next one is not joined to it."""
     before, after = np.zeros_like(cls), np.zeros_like(cls)
-    if len(cls) > 1:
-        joined = np.diff(at) == 1
-        before[1:] = np.where(joined, cls[:-1], 0)
-        after[:-1] = np.where(joined, cls[1:], 0)
+    before[1:] = cls[:-1] * joined
+    after[:-1] = cls[1:] * joined
     return before, after
 
 
@@ -196,8 +224,11 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key, return_counts=True)
 
 
-#: A stretch that a two-byte encoding can make: non-ASCII characters with the ASCII ones that can be second bytes.
-_STRETCH = re.compile(r"[@-~]*[^\x00-\x7f][^\x00-\x3f\x7f]*")
+def stretches_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each stretch that a two-byte encoding can make: non-ASCII characters with the ASCII ones beside them that can be second bytes."""
+    stops = np.flatnonzero((c < 0x40) | (c == 0x7F))
+    after = np.unique(np.searchsorted(stops, np.flatnonzero(c > 0x7F)))
+    return np.where(after > 0, stops[after - 1] + 1, 0), np.append(stops, len(c))[after]
 
 
 class Labeller:
@@ -207,6 +238,7 @@ class Labeller:
         self.model = model
         self.cls = _tables()[0]
         self._wide_cache: dict[str, list] = {}
+        self._wide_size = 0
 
     # -- emissions -------------------------------------------------------------------------------------------------
 
@@ -223,146 +255,301 @@ class Labeller:
         """(state, log likelihood, restored) of a stretch under each pair with a two-byte encoding that explains it."""
         if stretch in self._wide_cache:
             return self._wide_cache[stretch]
-        _, reads, _ = _tables()
         out = []
-        high = sum(ch > "\x7f" for ch in stretch)
         first = 1 + len(PAIRS) - len(WIDE_WRITTEN) - len(WIDE_READ)
-        codes = [ord(ch) for ch in stretch]
-        as_bytes = [0xFF if x == LOST else int(reads["cp1252"][x]) for x in codes]
-        if min(as_bytes) >= 0:
-            raw = bytes(as_bytes)
+        codes = np.frombuffer(stretch.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        high = int((codes > 0x7F).sum())
+        as_bytes = np.where(codes == LOST, 0xFF, _tables()[1]["cp1252"][codes])
+        if as_bytes.min() >= 0:
+            raw = as_bytes.astype(np.uint8).tobytes()
             for k, (written, _) in enumerate(WIDE_WRITTEN):
                 restored = raw.decode(written, "replace")
-                lost = restored.count("�")
+                lost = restored.count("\ufffd")
                 if 4 * lost <= high and restored != stretch:
                     out.append((first + k, self._score_text(restored), restored))
-        elif any(self.cls[x] == 6 for x in codes):
-            # ASCII beside them is the same in all of these encodings and says nothing for or against.
-            plain = len(stretch) - high
-            for k, (_, read) in enumerate(WIDE_READ):
-                try:
-                    raw = b"".join(b"\xff" if ch == "�" else ch.encode(read) for ch in stretch)
-                except UnicodeEncodeError:
-                    continue
-                restored = raw.decode("utf-8", "replace")
-                lost = restored.count("�")
-                if 2 * lost <= len(restored) - plain:
-                    out.append((first + len(WIDE_WRITTEN) + k, self._score_text(restored), restored))
-        if len(self._wide_cache) > 200_000:
+        else:
+            self._wide_eastern([stretch])
+            return self._wide_cache[stretch]
+        self._remember(stretch, out)
+        return out
+
+    def _remember(self, stretch: str, out: list) -> None:
+        if self._wide_size > WIDE_CACHE:
             self._wide_cache.clear()
+            self._wide_size = 0
         self._wide_cache[stretch] = out
-        return out
+        self._wide_size += len(stretch) * (1 + len(out))
+
+    def _wide_eastern(self, stretches: list[str]) -> None:
+        """Explain stretches that UTF-8 may have become when it was read with two bytes a character, all at once."""
+        found: list[list] = [[] for _ in stretches]
+        # ASCII beside them is the same in all of these encodings and says nothing for or against.
+        plain = [len(s.encode("ascii", "ignore")) for s in stretches]
+        first, joined = 1 + len(PAIRS) - len(WIDE_READ), "\n".join(stretches)
+        for k, (_, read) in enumerate(WIDE_READ):
+            raw = joined.encode(read, _LOST_HANDLER)
+            # A line end is no part of a character in any of them; '?', which no stretch has, marks what can't be encoded.
+            for n, restored in enumerate(raw.decode("utf-8", "replace").split("\n")):
+                if 2 * restored.count("\ufffd") <= len(restored) - plain[n] and "?" not in restored:
+                    found[n].append((first + k, self._score_text(restored), restored))
+        for s, out in zip(stretches, found):
+            self._remember(s, out)
+
+    def _byte_row(self, pair: tuple[str, str], u: np.ndarray, at_u: np.ndarray, beside: np.ndarray) -> np.ndarray | None:
+        """Emissions under a pair that maps characters one by one, from the distinct characters u; None if it explains none."""
+        r, _ = restore_chars(pair, u)
+        fits = (r >= 0x80) & (u >= 0x80)
+        if not fits.any():
+            return None
+        cls = np.where(r >= 0, self.cls[np.maximum(r, 0)], 7)[at_u]
+        before, after = _beside(cls, beside)
+        row = self.model.look_up(self.model.place[np.maximum(r, 0)][at_u], before, after)
+        row[~(fits | (u < 0x80))[at_u]] = IMPOSSIBLE
+        return row
+
+    def _utf8_row(self, pair: tuple[str, str], u: np.ndarray, at_u: np.ndarray, c: np.ndarray, at: np.ndarray, row: np.ndarray) -> bool:
+        """Fill in the emissions under a pair that UTF-8 was read with, around places where its bytes can be; False if there are none."""
+        b = _tables()[1][pair[1]][u][at_u]
+        lead = np.flatnonzero((b[:-1] >= 0xC2) & (b[:-1] < 0xF5) & (b[1:] >= 0x80) & (b[1:] < 0xC0))
+        if not len(lead):
+            return False
+        reach = 9  # more than any character that was encoded twice, and its neighbours
+        near = np.zeros(len(c) + 1, np.int32)
+        np.add.at(near, np.maximum(lead - reach, 0), 1)
+        np.add.at(near, np.minimum(lead + reach + 1, len(c)), -1)
+        part = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+        # A blank between parts that do not touch keeps them apart.
+        gaps = np.flatnonzero(np.diff(part) > 1) + 1
+        cs, places = np.insert(c[part], gaps, 0x20), np.insert(at[part], gaps, -9)
+        back = np.insert(part, gaps, -1)
+        r, cont = restore_chars(pair, cs)
+        head = np.flatnonzero(~cont)
+        cls = np.where(r[head] >= 0, self.cls[np.maximum(r[head], 0)], 7)
+        # Neighbours of a restored character are those of the restored text; continuations take no place in it.
+        beside = places[head[1:]] - places[head[:-1]] == np.diff(head)
+        before, after = _beside(cls, beside)
+        score = self.model.log(np.maximum(r[head], 0), before, after)
+        score[~((r[head] >= 0x80) | (cs[head] < 0x80))] = IMPOSSIBLE
+        found = np.zeros(len(cs), np.float32)
+        found[head] = score
+        row[back[back >= 0]] = found[back >= 0]
+        return True
 
     def emissions(self, texts: list[str]):
-        """(E: state x character, code points, place, text number, high, restored: state -> (cp, continues), stretches)."""
-        c, at, doc = foreign_characters(texts)
+        """(states, E: state x character for these, code points, place, text number, high, stretches, all code points).
+
+        States that explain nothing here are left out; state 0, clean text, is first.
+        """
+        whole = codes_of(texts)
+        c, at, doc = _foreign(whole, texts)
         high = c > 0x7F
-        E = np.full((1 + len(PAIRS), len(c)), IMPOSSIBLE, np.float32)
-        before, after = _neighbours(self.cls[c], at)
-        E[0] = self.model.log(c, before, after)
-        restored = {}
+        lost = c == LOST
+        beside = np.diff(at) == 1
+        u, at_u = np.unique(c, return_inverse=True)
+        states, rows = [0], [self.model.look_up(self.model.place[u][at_u], *_beside(self.cls[u][at_u], beside))]
         for s, pair in enumerate(PAIRS[: -len(WIDE_WRITTEN) - len(WIDE_READ)], 1):
-            r, cont = restore_chars(pair, c)
-            restored[s] = (r, cont)
-            lead = np.flatnonzero(~cont)
-            cls = np.where(r[lead] >= 0, self.cls[np.maximum(r[lead], 0)], 7)
-            # Neighbours of a restored character are those of the restored text; continuations take no place in it.
-            width = np.diff(np.append(lead, len(c)))
-            near = np.zeros(len(lead), bool)
-            if len(lead) > 1:
-                near[:-1] = at[lead[1:]] - at[lead[:-1]] == width[:-1]
-            b, a = np.zeros_like(cls), np.zeros_like(cls)
-            if len(lead) > 1:
-                b[1:] = np.where(near[:-1], cls[:-1], 0)
-                a[:-1] = np.where(near[:-1], cls[1:], 0)
-            ok = (r[lead] >= 0x80) | (c[lead] < 0x80)
-            score = np.full(len(lead), IMPOSSIBLE)
-            score[ok] = self.model.log(np.maximum(r[lead][ok], 0), b[ok], a[ok])
-            if pair[0] == "bytes":
-                score = np.where(c[lead] == LOST, DROPPED, score)
-            else:
-                score = np.where(c[lead] == LOST, DROPPED - 3, score)
-            row = np.zeros(len(c), np.float32)
-            row[lead] = score
-            E[s] = row
+            if pair[0] in ("utf-8", "utf-8 twice"):
+                row = np.full(len(c), IMPOSSIBLE, np.float32)
+                if not self._utf8_row(pair, u, at_u, c, at, row):
+                    continue
+            elif pair[0] == "bytes":
+                if not lost.any():
+                    continue
+                row = np.full(len(c), IMPOSSIBLE, np.float32)
+            elif (row := self._byte_row(pair, u, at_u, beside)) is None:
+                continue
+            row[lost] = DROPPED if pair[0] == "bytes" else DROPPED - 3
+            states.append(s)
+            rows.append(row)
+        wide: dict[int, np.ndarray] = {}
         stretches: dict[int, list] = {}
-        offset = 0
-        for k, t in enumerate(texts):
-            for m in _STRETCH.finditer(t):
-                found = self.wide(m.group())
+        begins, ends = stretches_of(whole)
+        if len(begins):
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            which = np.searchsorted(starts, begins, "right") - 1
+            # Only stretches that are all readable as cp1252, or that have East Asian characters, can be explained.
+            eastern = np.append(0, np.cumsum(self.cls[whole] == 6))
+            outside = np.append(0, np.cumsum((_tables()[1]["cp1252"][whole] < 0) & (whole != LOST)))
+            could = (eastern[ends] > eastern[begins]) | (outside[ends] == outside[begins])
+            begins, ends, which, eastern = begins[could], ends[could], which[could], (outside[ends] != outside[begins])[could]
+            cut = [texts[k][i - s : j - s] for i, j, k, s in zip(begins.tolist(), ends.tolist(), which.tolist(), starts[which].tolist())]
+            new = {x for x, e in zip(cut, eastern.tolist()) if e and x not in self._wide_cache}
+            if new:
+                self._wide_eastern(sorted(new))
+            for stretch, i, j, k in zip(cut, begins.tolist(), ends.tolist(), which.tolist()):
+                found = self.wide(stretch)
                 if found:
-                    i, j = np.searchsorted(at, [offset + m.start(), offset + m.end()])
-                    mine = np.flatnonzero(high[i:j]) + i
+                    a, b = np.searchsorted(at, [i, j])
+                    mine = np.flatnonzero(high[a:b]) + a
                     for s, score, text in found:
-                        E[s, mine] = score / len(mine)
-                        stretches.setdefault(k, []).append((s, m.start(), m.end(), text, int(mine[0])))
-            offset += len(t) + 1
+                        if s not in wide:
+                            wide[s] = np.full(len(c), IMPOSSIBLE, np.float32)
+                        wide[s][mine] = score / len(mine)
+                        stretches.setdefault(k, []).append((s, i - int(starts[k]), j - int(starts[k]), text, int(mine[0])))
+        for s in sorted(wide):
+            states.append(s)
+            rows.append(wide[s])
+        E = np.stack(rows)
         E[:, ~high] = 0
-        return E, c, at, doc, high, restored, stretches
+        return np.array(states), E, c, at, doc, high, stretches, whole
 
     def label_all(self, texts: list[str]) -> list[tuple[str, int, int] | None]:
-        """label for texts of any length and number: long ones in pieces between lines, all in portions."""
-        parts = [pieces(t, PIECE) for t in texts]
-        flat = [p for ps in parts for p in ps]
-        found = [x for i, j in portions(flat, PIECE) for x in self.label(flat[i:j])]
-        out, at = [], 0
-        for ps in parts:
-            mine = found[at : at + len(ps)]
-            at += len(ps)
-            if any(x is not None for x in mine):
-                out.append(("".join(p if x is None else x[0] for p, x in zip(ps, mine)), sum(x[1] for x in mine if x), sum(x[2] for x in mine if x)))
-            else:
-                out.append(None)
+        """label for texts of any length and number, in portions.
+
+        A text of more than PIECE characters is cut where the labels of both sides do not depend on each other: after a
+        blank or mark beyond which every state is entered afresh. Where there is no such place the piece grows.
+        """
+        out: list = [None] * len(texts)
+        short = [k for k, t in enumerate(texts) if len(t) <= PIECE]
+        for i, j in portions([texts[k] for k in short], PIECE):
+            for k, found in zip(short[i:j], self.label([texts[k] for k in short[i:j]])):
+                out[k] = found
+        for k, t in enumerate(texts):
+            if len(t) > PIECE:
+                parts, done, head = [], 0, SWITCH[0]
+                while done < len(t):
+                    end, tail = self._cut(t, done, head)
+                    found = self.label([t[done:end]], head, tail)[0]
+                    parts.append((t[done:end], found))
+                    done, head = end, tail
+                if any(f is not None for _, f in parts):
+                    out[k] = ("".join(p if f is None else f[0] for p, f in parts), sum(f[1] for _, f in parts if f), sum(f[2] for _, f in parts if f))
         return out
 
+    def _cut(self, text: str, begin: int, head: float) -> tuple[int, float]:
+        """Where the piece that begins there ends, and the cost of a change of state after it (half of the usual one at the text's end)."""
+        size = PIECE
+        while begin + size < len(text):
+            m = _BORDER.search(text, begin + size)
+            end = m.end() if m else len(text)
+            if end == len(text):
+                break
+            part = text[begin:end]
+            states, E, _, at, _, high, _, whole = self.emissions([part])
+            at_hi = at[np.flatnonzero(high)]
+            if not len(at_hi):
+                return end, SWITCH[1] if text[end - 1] != "\n" else SWITCH[0]
+            switch, first = self._switches(whole, at_hi, np.zeros(len(at_hi), np.int64), head)
+            _, fresh = self._screen(E[:, high], switch, first)
+            # The last character after which all states are entered anew, with a border before the next one.
+            for t in np.flatnonzero(fresh)[::-1][:1000].tolist():
+                stop = at_hi[t + 1] if t + 1 < len(at_hi) else len(part)
+                border = max((x.end() for x in _BORDER.finditer(part, int(at_hi[t]) + 1, int(stop))), default=0)
+                if border:
+                    return begin + border, float(switch[t + 1]) if t + 1 < len(at_hi) else SWITCH[2]
+            size *= 2
+        return len(text), SWITCH[0] / 2
+
     # -- labels ----------------------------------------------------------------------------------------------------
 
-    def _viterbi(self, E: np.ndarray, switch: np.ndarray) -> np.ndarray:
-        """The best state of each character; switch: the cost of a change of state before it."""
-        states, n = E.shape
-        best = E[:, 0].copy()
-        best[1:] += switch[0]
-        back = np.zeros((n, states), np.int16)
-        own = np.arange(states)
-        for t in range(1, n):
-            top = int(best.argmax())
-            moved = best[top] + switch[t]
-            stay = best >= moved
-            back[t] = np.where(stay, own, top)
-            best = np.where(stay, best, moved) + E[:, t]
-        best[1:] += SWITCH[0] / 2
-        path = np.zeros(n, np.int16)
-        path[-1] = best.argmax()
-        for t in range(n - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
-
-    def label(self, texts: list[str]) -> list[tuple[str, int, int] | None]:
-        """Of each text None if it is clean, else (restored text, characters in garbled spans, of these not restored)."""
+    @staticmethod
+    def _switches(whole: np.ndarray, at: np.ndarray, doc: np.ndarray, head: float = SWITCH[0]) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of a change of state before each non-ASCII character, and which of them are the first of their text."""
+        switch = np.full(len(at), SWITCH[1], np.float32)
+        first = np.append(True, doc[1:] != doc[:-1])
+        switch[1:][np.diff(at) == 1] = SWITCH[2]
+        switch[1:][np.diff(np.searchsorted(np.flatnonzero(whole == 10), at)) > 0] = SWITCH[0]
+        switch[first] = SWITCH[0]
+        if len(switch) and head != SWITCH[0]:
+            switch[0] = head
+        return switch, first
+
+    @staticmethod
+    def _screen(E: np.ndarray, switch: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each character how much better than clean the best single span that ends there is, and whether all states are entered anew after it.
+
+        A span's worth is V[t] = max(V[t - 1], switch[t]) + gain[t]; with C the running sum of gains that is
+        C[t] + max over u up to t of (switch[u] - C[u - 1]), so that no loop over characters is needed.
+        """
+        n = E.shape[1]
+        top, entered = np.full(n, -np.inf), np.ones(n, bool)
+        text = np.cumsum(first) - 1
+        later = np.append(switch[1:], SWITCH[2])
+        for row in E[1:]:
+            gain = (row - E[0]).astype(np.float64)
+            total = np.cumsum(gain)
+            # Texts are kept apart by steps that are larger than any difference of sums.
+            step = text * (total.max() - total.min() + abs(gain).max() + 100)
+            worth = total + np.maximum.accumulate(switch - (total - gain) + step) - step
+            np.maximum(top, worth, out=top)
+            entered &= worth <= later
+        entered[np.flatnonzero(first)[1:] - 1] = True
+        return top, entered
+
+    @staticmethod
+    def _viterbi(E: np.ndarray, switch: np.ndarray, spans: list[tuple[int, int]], tails: list[float]) -> list[np.ndarray]:
+        """The best states of each span of characters, all spans at once, each from clean to clean; tails: the cost of that return."""
+        rows = np.ascontiguousarray(E.T)
+        order = sorted(range(len(spans)), key=lambda k: spans[k][0] - spans[k][1])
+        begin = np.array([spans[k][0] for k in order])
+        size = np.array([spans[k][1] - spans[k][0] for k in order])
+        tail = np.array([tails[k] for k in order], np.float32)
+        own = np.arange(E.shape[0], dtype=np.int8)
+        best = rows[begin].copy()
+        best[:, 1:] += switch[begin][:, None]
+        back: list[np.ndarray] = []
+        live, ends = len(order), np.zeros(len(order), np.int64)
+        for t in range(int(size[0])):
+            if t:
+                at = begin[:live] + t
+                top = best[:live].argmax(axis=1)
+                moved = (best[np.arange(live), top] + switch[at])[:, None]
+                stay = best[:live] >= moved
+                back.append(np.where(stay, own, top[:, None].astype(np.int8)))
+                best[:live] = np.where(stay, best[:live], moved) + rows[at]
+            while live and size[live - 1] == t + 1:
+                live -= 1
+                last = best[live].copy()
+                last[1:] += tail[live]
+                ends[live] = last.argmax()
+        out: list = [None] * len(spans)
+        for k, n in enumerate(size.tolist()):
+            path = np.zeros(n, np.int16)
+            path[-1] = ends[k]
+            for t in range(n - 1, 0, -1):
+                path[t - 1] = back[t - 1][k, path[t]]
+            out[order[k]] = path
+        return out
+
+    def label(self, texts: list[str], head: float = SWITCH[0], tail: float = SWITCH[0] / 2) -> list[tuple[str, int, int] | None]:
+        """Of each text None if it is clean, else (restored text, characters in garbled spans, of these not restored).
+
+        head, tail: the cost of a change of state at the first text's beginning and after its end, for a piece of a text.
+        """
         if not texts:
             return []
-        E, c, at, doc, high, restored, stretches = self.emissions(texts)
+        out: list = [None] * len(texts)
+        states, E, c, at, doc, high, stretches, whole = self.emissions(texts)
         hi = np.flatnonzero(high)
+        if not len(hi) or len(states) == 1:
+            return out
         E, at_hi, doc_hi = E[:, hi], at[hi], doc[hi]
+        switch, first = self._switches(whole, at_hi, doc_hi, head)
+        top, entered = self._screen(E, switch, first)
+        if top.max() <= 0:  # no span anywhere is worth its cost
+            return out
+        ends = np.append(np.flatnonzero(entered[:-1]) + 1, len(hi))
+        begins = np.append(0, ends[:-1])
+        last = np.append(first[1:], True)
+        spans = [(i, j) for i, j, x in zip(begins.tolist(), ends.tolist(), np.maximum.reduceat(top, begins).tolist()) if x > 0]
+        path = np.zeros(len(hi), np.int16)
+        upto = {int(i): int(j) for i, j in zip(begins, ends)}
+        while spans:
+            found = self._viterbi(E, switch, spans, [tail if last[j - 1] else float(switch[j]) for _, j in spans])
+            again = []
+            for (i, j), p in zip(spans, found):
+                if p[-1] and not last[j - 1]:
+                    again.append((i, upto[j]))  # the best path goes on beyond this place
+                else:
+                    path[i:j] = states[p]
+            spans = again
         begin = np.searchsorted(doc_hi, np.arange(len(texts) + 1))
-        gain = np.maximum(E[1:].max(axis=0) - E[0], 0)
-        total = np.append(0, np.cumsum(gain))
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        out: list = [None] * len(texts)
-        for k, text in enumerate(texts):
+        for k in np.unique(doc_hi[path > 0]).tolist():
             i, j = begin[k], begin[k + 1]
-            # No path through other states can gain more than this, so the rest needs no search.
-            if i == j or total[j] - total[i] + SWITCH[0] * 1.5 <= 0:
-                continue
-            places = at_hi[i:j] - starts[k]
-            switch = np.full(j - i, SWITCH[1], np.float32)
-            switch[0] = SWITCH[0]
-            switch[1:][np.diff(places) == 1] = SWITCH[2]
-            lines = np.searchsorted(np.array([m.start() for m in re.finditer("\n", text)] or [len(text)]), places)
-            switch[1:][np.diff(lines) > 0] = SWITCH[0]
-            path = self._viterbi(E[:, i:j], switch)
-            if path.any():
-                out[k] = self._restore(text, path, places, hi[i:j], c, restored, stretches.get(k, []))
+            a, b = np.searchsorted(at, [starts[k], starts[k + 1]])
+            restored = {s: restore_chars(PAIRS[s - 1], c[a:b]) for s in np.unique(path[i:j]).tolist() if 0 < s <= len(PAIRS) - len(WIDE_WRITTEN) - len(WIDE_READ)}
+            out[k] = self._restore(texts[k], path[i:j], at_hi[i:j] - starts[k], hi[i:j] - a, c, restored, stretches.get(k, []))
         return out
 
     def _restore(self, text, path, places, flat, c, restored, stretches) -> tuple[str, int, int]:
@@ -408,7 +595,8 @@ def find_garbled(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
     restored: the text with every garbled span turned back as far as it can be; chars: non-ASCII characters in such
     spans; lost: how many of them could not be restored. The model of clean text counts all documents. Null, empty and
-    pure ASCII texts are clean (no encoding read as another leaves only ASCII behind) and give no row, as do clean ones.
+    pure ASCII texts give no row, as do clean ones: the pairs here leave ASCII as it is. Encodings that write other scripts in
+    ASCII bytes (UTF-7, HZ, ISO-2022-JP) are not looked for.
     Each row is looked at by itself, so repeated rows and keys give repeated results. Whole texts are read.
     """
     spark = documents.sparkSession

@@ -20,16 +20,3 @@ def portions(texts: list[str | None], limit: int = PORTION) -> Iterator[tuple[in
     if begin < len(texts):
         yield begin, len(texts)
 
-
-def pieces(text: str, limit: int) -> list[str]:
-    """A text in pieces of at most limit characters, cut after a line end if there is one, else after a blank."""
-    out, i = [], 0
-    while i < len(text):
-        j = min(i + limit, len(text))
-        if j < len(text):
-            j = max(text.rfind("\n", i, j) + 1, 0) or j
-            if j <= i or j == i + limit:
-                j = (text.rfind(" ", i, i + limit) + 1) or i + limit
-        out.append(text[i:j])
-        i = j
-    return out
