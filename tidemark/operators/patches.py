@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -68,16 +69,22 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = list(chunk.at.items())
         for i in range(0, len(items), 20_000):
             part = items[i : i + 20_000]
-            cols = (
-                [tab] * len(part), [n] * len(part), [list(k) for k, _ in part], [r is not None for _, r in part],
-                [list(r[0]) if r and r[0] is not None else None for _, r in part], [list(r[1].items()) if r else [] for _, r in part], [r[2] if r else None for _, r in part],
+            rows = [r for _, r in part]
+            srcs, patches = [r[0] if r else None for r in rows], [r[1] if r else {} for r in rows]
+            ends = np.cumsum([0, *map(len, patches)]).astype(np.int32)
+            patch = pa.MapArray.from_arrays(pa.array(ends), pa.array([k for p in patches for k in p], pa.string()), pa.array([v for p in patches for v in p.values()], pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([tab] * len(part), pa.string()), pa.array(np.full(len(part), n, np.int32)), _lists([k for k, _ in part]), pa.array([r is not None for r in rows]),
+                    _lists(srcs), patch.cast(_ARROW.field("patch").type), pa.array([r[2] if r else None for r in rows], pa.int64()),
+                ], schema=_ARROW
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
     layouts: dict[str, list[tuple[str, int, int]]] = {}
     for b in batches:
-        tabs, versions, origins, rows, olds, news, shapes, values = (c.to_pylist() for c in b.columns)
-        for t, v, o, r, old, new, shape, cells in zip(tabs, versions, origins, rows, olds, news, shapes, values):
+        tabs, versions, origins, rows, shapes = (_values(b.column(k)) for k in (0, 1, 2, 3, 6))
+        (olds, news), (flat, begin) = (_tuples(b.column(k)) for k in (4, 5)), _flat(b.column(7))
+        for k, (t, v, o, r, old, new, shape) in enumerate(zip(tabs, versions, origins, rows, olds, news, shapes)):
             if t != tab:
                 yield from out()
                 tab, before, chunk = t, None, Chunk()
@@ -91,14 +98,38 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 layouts[shape] = [(name, int(at), int(flag)) for name, at, flag in parts]
             patch = {}
             if new is not None:
-                given = len(cells) if cells is not None else 0
+                first = begin[k]
+                given = begin[k + 1] - first
                 for name, at, flag in layouts[shape]:
-                    if flag < 0 or flag < given and cells[flag] is not None and cells[flag].lower() == "true":
-                        patch[name] = cells[at] if at < given else None
-            chunk.change(None if old is None else tuple(old), None if new is None else tuple(new), patch, v)
+                    if flag < 0 or flag < given and flat[first + flag] is not None and flat[first + flag].lower() == "true":
+                        patch[name] = flat[first + at] if at < given else None
+            chunk.change(old, new, patch, v)
     yield from out()
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; the faster way by numpy has no whole numbers beside nulls."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _flat(lists: pa.ListArray) -> tuple[list, list[int]]:
+    """All values of a column of lists, and where each list begins; a null list has none."""
+    return lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
+
+
+def _tuples(lists: pa.ListArray) -> list[tuple | None]:
+    """A column of lists as tuples."""
+    (flat, begin), valid = _flat(lists), lists.is_valid().to_numpy(zero_copy_only=False).tolist()
+    return [tuple(flat[i:j]) if ok else None for i, j, ok in zip(begin, begin[1:], valid)]
+
+
+def _lists(tuples: list[tuple | None]) -> pa.ListArray:
+    """Tuples as a column of lists."""
+    ends = np.cumsum([0, *(len(t) if t is not None else 0 for t in tuples)]).astype(np.int32)
+    flat = pa.array([x for t in tuples if t is not None for x in t], pa.string())
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([t is None for t in tuples]))
+
+
 def overlay(lower, upper):
     """The map lower with the entries of upper over it."""
     return F.map_concat(F.map_filter(lower, lambda k, _: ~F.array_contains(F.map_keys(upper), k)), upper)
