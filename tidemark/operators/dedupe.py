@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from tidemark.operators.scale import SALTS, hot_keys
 
 
-def split_copies(messages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """messages with a last column _copy: 0 for the one copy that stays, else positive.
+def split_copies(messages: DataFrame, keys: list[str], order: list[str], firsts: bool = False) -> DataFrame:
+    """messages with a last column _copy: 0 for the one copy that stays, else positive. With firsts only the former come out.
 
     The identifiers' frequencies are aggregated first (with map-side combine). Rows of singletons pass; only rows of
     repeated identifiers are ranked. An identifier with more than HOT_SHARE of all rows is ranked in SALTS parts,
@@ -45,7 +45,7 @@ def split_copies(messages: DataFrame, keys: list[str], order: list[str]) -> Data
     later = ranked.where("copy > 0")
     first = ranked.where("copy = 0").withColumn("copy", F.row_number().over(Window.partitionBy(*k).orderBy(*by)) - 1)
     out = [*rows.columns, "copy"]
-    kept = single.select(*out).unionByName(later.select(*out)).unionByName(first.select(*out))
+    kept = single.select(*out).unionByName(first.where("copy = 0").select(*out) if firsts else later.select(*out).unionByName(first.select(*out)))
     return kept.unionByName(rows.where(~known).withColumn("copy", F.lit(0)).select(*out)).toDF(*names, "_copy")
 
 
@@ -63,5 +63,5 @@ def deduplicate(new: DataFrame, keys: list[str], order: list[str], stored: DataF
         old = stored.select(*[F.col(f"`{n}`") for n in names]).toDF(*inner)
         rows = old.withColumn("age", F.lit(0)).unionByName(rows.withColumn("age", F.lit(1)))
     by = [place[c] for c in order]
-    one = split_copies(rows, [place[c] for c in keys], by if stored is None else ["age", *by])
-    return one.where("_copy = 0").select(*inner).toDF(*names)
+    one = split_copies(rows, [place[c] for c in keys], by if stored is None else ["age", *by], firsts=True)
+    return one.select(*inner).toDF(*names)

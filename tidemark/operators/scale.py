@@ -36,22 +36,31 @@ def hot_keys(counts: DataFrame, n: str) -> DataFrame:
     return counts.where(F.col(n) > total * HOT_SHARE)
 
 
-def chunked_neighbour(df: DataFrame, keys: list[str], order: str, out: str, previous: bool = True, chunks: int = 1024) -> DataFrame:
-    """df with the previous (or next) value of order among the rows of the same keys, in out.
+def chunked_neighbour(df: DataFrame, keys: list[str], order: str, out: str, previous: bool = True, chunks: int = SALTS, carry: str | None = None) -> DataFrame:
+    """df with the previous (or next) value of order among the rows of the same keys, in out; null where there is none.
 
-    df must have one row for each keys and order; order is an integer column without null. Each key's range is cut
-    into at most chunks + 1 chunks of equal width, neighbours are found inside a chunk, and the first row of a chunk
-    takes its neighbour from a window over the chunks' ends. So no task needs all rows of a key.
+    df must have one row for each keys and order; order is a number without null. With carry, out is a struct of order
+    and that column of the neighbour. Rows of a key with more than HOT_SHARE of all rows are cut into at most chunks parts
+    between quantiles of order, wherever its values lie; neighbours are found inside a part, and the first row of a part takes
+    its neighbour from the ends of the parts, of which there are at most chunks for each of the fewer than 1 / HOT_SHARE
+    hot keys. So no task needs all rows of a hot key.
     """
-    span = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    cond = [df[k].eqNullSafe(span[k]) for k in keys]
-    both = df.join(broadcast_if_small(span), cond).select(df["*"], "_lo", "_hi")
-    width = F.greatest(F.floor((F.col("_hi") - F.col("_lo")) / chunks), F.lit(1))
-    cut = both.withColumn("_chunk", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")
-    ends = cut.groupBy(*keys, "_chunk").agg((F.max if previous else F.min)(order).alias("_end"))
-    over = Window.partitionBy(*keys).orderBy("_chunk" if previous else F.desc("_chunk"))
-    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_chunk").alias("_c"), F.lag("_end").over(over).alias("_outer"))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(order if previous else F.desc(order))
-    near = cut.withColumn("_near", F.lag(order).over(inner))
-    joined = near.join(ends, [near[k].eqNullSafe(F.col(f"_{k}")) for k in keys] + [near["_chunk"] == F.col("_c")])
-    return joined.select(*[near[c] for c in df.columns], F.coalesce("_near", "_outer").alias(out))
+    names = {k: f"_k{n}" for n, k in enumerate(keys)}
+    same = lambda other: [F.col(k).eqNullSafe(other[c]) for k, c in names.items()]
+    value = F.struct(F.col(order).alias(order), *([F.col(carry).alias(carry)] if carry else []))
+    hot = hot_keys(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "_n").select(*[F.col(k).alias(c) for k, c in names.items()])
+    in_hot = df.join(F.broadcast(hot), same(hot), "left_semi")
+    shares = F.array(*[F.lit(n / chunks) for n in range(1, chunks)])
+    edges = in_hot.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, shares, 10_000)).alias("_edges"))
+    edges = edges.select(*[F.col(k).alias(c) for k, c in names.items()], "_edges")
+    part = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0))
+    cut = df.join(F.broadcast(edges), same(edges), "left").withColumns({"_part": part, "_hot": F.col("_edges").isNotNull()}).drop("_edges", *names.values())
+    # Of each part of a hot key the row that the next part looks back to (or ahead).
+    ends = cut.where("_hot").groupBy(*keys, "_part").agg((F.max_by if previous else F.min_by)(value, order).alias("_end"))
+    over = Window.partitionBy(*keys).orderBy("_part" if previous else F.desc("_part"))
+    ends = ends.select(*[F.col(k).alias(c) for k, c in names.items()], F.col("_part").alias("_p"), F.lag("_end").over(over).alias("_outer"))
+    inner = Window.partitionBy(*keys, "_part").orderBy(order if previous else F.desc(order))
+    near = cut.withColumn("_near", F.lag(value).over(inner))
+    joined = near.join(F.broadcast(ends), [*same(ends), F.col("_part") == F.col("_p")], "left")
+    found = F.coalesce("_near", "_outer")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (found if carry else found[order]).alias(out))
