@@ -86,7 +86,9 @@ def inventory(entries: DataFrame, tables: DataFrame, stores: DataFrame) -> DataF
     e = entries.where("path IS NOT NULL AND action IN ('add', 'remove') AND commit_version IS NOT NULL")
     e = e.select("entry_id", "action", "commit_version", "size_bytes", "num_records", F.coalesce(address_root(F.col("path")), F.lit(".")).alias("_root"), address_segments(F.col("path")).alias("_segs"))
     e = e.where(F.element_at("_segs", -1).endswith(".parquet") & (F.size("_segs") > 1))
-    depth = F.sequence(F.lit(1), F.size("_segs") - 1)
+    # Tables lie at few depths; only an address's beginnings of those lengths can name one.
+    depths = sorted(r[0] for r in keys.select("_t._cut").distinct().collect())
+    depth = F.filter(F.array(*[F.lit(d) for d in depths]).cast("array<int>"), lambda d: (d > 0) & (d < F.size("_segs")))
     above = F.transform(depth, lambda d: F.concat(F.col("_root"), F.lit("/"), F.array_join(F.slice("_segs", F.lit(1), d), "/")))
     found = e.withColumn("_above", F.explode(above)).join(broadcast_if_small(keys), F.col("_above") == F.col("_key"))
     # Below the table come folders and the name; the whole address is the table's, then those.
