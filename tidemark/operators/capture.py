@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedupe import deduplicate
-from tidemark.operators.scale import broadcast_if_small
 from tidemark.sources.storage import Storage
 
 
@@ -104,8 +103,8 @@ class Capture:
         if plan["since"] is not None:
             rows = rows.where(a > plan["since"])
         # Most of a long log lies below the positions and goes here, before anything is told apart. The plan has one row for
-        # each partition; past the size bound the join shuffles and skewed parts are split.
-        rows = rows.join(broadcast_if_small(ranges), p.eqNullSafe(F.col("q")) & (o <= F.col("high"))).drop("q", "high")
+        # each partition; its files' size says whether it is broadcast, else the join shuffles and skewed parts are split.
+        rows = rows.join(ranges, p.eqNullSafe(F.col("q")) & (o <= F.col("high"))).drop("q", "high")
         above = F.col("low").isNull() | (o > F.col("low"))
         if plan.get("acknowledged"):
             acks = self.spark.read.parquet(f"{self.state}/plans/{n}-acknowledged").withColumn("acked", F.lit(True))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.identifiers import address_root, address_segments
 from tidemark.operators.drift import common_type
-from tidemark.operators.scale import broadcast_if_small
+from tidemark.session import materialize
 from tidemark.sources.storage import Storage
 
 #: A file below this size is small.
@@ -38,7 +38,7 @@ def table_roots(tables: DataFrame, stores: DataFrame) -> DataFrame:
     t = tables.where("path IS NOT NULL").select("path", F.coalesce("store", F.lit("default")).alias("store")).distinct()
     s = stores.select(F.col("name").alias("store"), "location").distinct()
     own = address_segments(F.col("path"))
-    placed = t.join(broadcast_if_small(s), "store")
+    placed = t.join(s, "store")
     segments = F.concat(address_segments(F.col("location")), own)
     return placed.select("path", address_root(F.col("location")).alias("root"), segments.alias("segments"), own.alias("own"))
 
@@ -59,12 +59,13 @@ def resolve_tables(rows: DataFrame, address: str, tables: DataFrame, stores: Dat
         relative = join(address_segments(at))
     else:
         s = stores.select(F.col("name").alias("store_name"), join(F.array(address_root(F.col("location"))), address_segments(F.col("location"))).alias("base")).distinct()
-        rows = rows.join(broadcast_if_small(s), F.coalesce(F.col(place[store]), F.lit("default")) == F.col("store_name"), "left")
+        rows = rows.join(s, F.coalesce(F.col(place[store]), F.lit("default")) == F.col("store_name"), "left")
         relative = F.concat_ws("\u0001", "base", join(address_segments(at)))
     whole = join(F.array(address_root(at)), address_segments(at))
     rows = rows.withColumn("named", F.when(address_root(at).isNotNull(), whole).otherwise(relative))
-    known = known.groupBy("key").agg(F.min("path").alias("table_path"))
-    found = rows.join(broadcast_if_small(known), F.col("named") == F.col("key"), "left")
+    # Written, so that its size is known: Spark broadcasts it if it is small and shuffles otherwise.
+    known = materialize(known.groupBy("key").agg(F.min("path").alias("table_path")), "known")
+    found = rows.join(known, F.col("named") == F.col("key"), "left")
     return found.select(*place.values(), "table_path").toDF(*names, "table_path")
 
 
@@ -81,7 +82,7 @@ def inventory(entries: DataFrame, tables: DataFrame, stores: DataFrame) -> DataF
     roots = table_roots(tables, stores)
     keys = roots.select("path", "root", "segments", F.array_join(F.concat(F.array("root"), F.col("segments")), "/").alias("_key"), F.size("segments").alias("_depth"), F.size("segments").alias("_cut"))
     keys = keys.unionByName(roots.select("path", "root", "segments", F.concat(F.lit("./"), F.array_join("own", "/")).alias("_key"), F.size("segments").alias("_depth"), F.size("own").alias("_cut")))
-    keys = keys.groupBy("_key").agg(F.min(F.struct("path", "root", "segments", "_depth", "_cut")).alias("_t"))
+    keys = materialize(keys.groupBy("_key").agg(F.min(F.struct("path", "root", "segments", "_depth", "_cut")).alias("_t")), "tables")
 
     e = entries.where("path IS NOT NULL AND action IN ('add', 'remove') AND commit_version IS NOT NULL")
     e = e.select("entry_id", "action", "commit_version", "size_bytes", "num_records", F.coalesce(address_root(F.col("path")), F.lit(".")).alias("_root"), address_segments(F.col("path")).alias("_segs"))
@@ -90,7 +91,7 @@ def inventory(entries: DataFrame, tables: DataFrame, stores: DataFrame) -> DataF
     depths = sorted(r[0] for r in keys.select("_t._cut").distinct().collect())
     depth = F.filter(F.array(*[F.lit(d) for d in depths]).cast("array<int>"), lambda d: (d > 0) & (d < F.size("_segs")))
     above = F.transform(depth, lambda d: F.concat(F.col("_root"), F.lit("/"), F.array_join(F.slice("_segs", F.lit(1), d), "/")))
-    found = e.withColumn("_above", F.explode(above)).join(broadcast_if_small(keys), F.col("_above") == F.col("_key"))
+    found = e.withColumn("_above", F.explode(above)).join(keys, F.col("_above") == F.col("_key"))
     # Below the table come folders and the name; the whole address is the table's, then those.
     below = F.slice("_segs", F.col("_t._cut") + 1, F.size("_segs"))
     folders = F.slice(below, 1, F.size(below) - 1)
@@ -130,7 +131,7 @@ def plan_groups(files: DataFrame, keys: list[str], size: str, order: str, target
     rows, by = files.toDF(*place.values()), [place[k] for k in keys]
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(*[F.col(k).alias(f"k_{k}") for k in by], F.ceil(F.col("n") / shard_files).cast("int").alias("shards"))
-    sharded = rows.join(broadcast_if_small(counts), [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in by])
+    sharded = rows.join(materialize(counts, "counts"), [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in by])
     sharded = sharded.withColumn("shard", F.expr(f"pmod(xxhash64({place[order]}), shards)").cast("int")).select(*rows.columns, "shard")
     schema = T.StructType(sharded.schema.fields + [T.StructField("group_no", T.IntegerType())])
 

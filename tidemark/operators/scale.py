@@ -6,22 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A side is broadcast only if a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 100_000
 #: A key is hot if it has more than this share of all rows; so there are at most 1 / share hot keys.
 HOT_SHARE = 1 / 256
 #: Parts that the rows of a hot key are spread over.
 SALTS = 64
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df as it is.
-
-    Counts at most rows + 1 rows. Beyond that the join shuffles, where adaptive execution splits skewed parts.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def key_of(*cols: Column | str) -> Column:
     """A null-safe key: a struct never is null, so nulls group and join with each other."""
     return F.struct(*cols)
