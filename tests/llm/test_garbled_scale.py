@@ -54,15 +54,21 @@ def test_letter_blobs_are_linear():
 
 @pytest.mark.parametrize("kind", ["cyrillic words", "cyrillic blob", "east asian lines", "east asian blob"])
 def test_scripts_other_than_latin(kind):
-    """Clean texts under a model that counts them, as find_garbled does; both of its passes within 960 seconds a GB, at 2.5 times this machine's speed."""
+    """Clean texts under a model that counts them, as find_garbled does; both of its passes within 960 seconds a GB.
+
+    Seconds are those of a machine that adds 50,000 numbers in a millisecond, as the check tool counts them.
+    """
     rnd = random.Random(8)
     letters = "ааабвгдеееежзииийклмнооооопрстууфхцчшщъыьэюя" if "cyrillic" in kind else [chr(k) for k in [*range(0x3041, 0x3097), *range(0x4E00, 0x4E40)]]
     word = lambda n: "".join(rnd.choices(letters, k=n))
-    texts = [word(200_000)] if "blob" in kind else ["\n".join(" ".join(word(rnd.randrange(2, 10)) for _ in range(8)) for _ in range(250)) for _ in range(12)]
+    words = [word(rnd.randrange(2, 10)) for _ in range(3_000)]
+    texts = [word(200_000)] if "blob" in kind else ["\n".join(" ".join(rnd.choices(words, k=8)) for _ in range(250)) for _ in range(30)]
     model = labeller(texts)
+    model.label_all(["日本"])  # tables that a process makes once
     seconds, found = cpu(lambda: model.label_all(texts))
     assert not any(found)
-    assert 2 * seconds < 2.5 * 960e-9 * sum(len(t.encode()) for t in texts)
+    slowness = sorted(cpu(lambda: sum(range(50_000)))[0] for _ in range(99))[49] * 1000
+    assert 2 * seconds / slowness < 960e-9 * sum(len(t.encode()) for t in texts)
 
 
 def test_restored_texts_equal_the_originals(spark):

@@ -143,8 +143,24 @@ def restore_chars(pair: tuple[str, str], c: np.ndarray) -> tuple[np.ndarray, np.
 
 
 _LOST_HANDLER = "tidemark-lost"
-# A lost byte is given back as one that is no UTF-8; other characters that an encoding lacks as a mark.
-codecs.register_error(_LOST_HANDLER, lambda e: (b"".join(b"\xff" if ch == "\ufffd" else b"?" for ch in e.object[e.start : e.end]), e.end))
+# A lost byte is given back as one that is no UTF-8.
+codecs.register_error(_LOST_HANDLER, lambda e: (b"\xff" * (e.end - e.start), e.end))
+
+
+@lru_cache(None)
+def _encodable(codec: str) -> np.ndarray:
+    """Which code points an encoding has; the mark of a lost byte counts as one."""
+    t = np.zeros(0x110000, bool)
+    t[:0x10000] = True
+
+    def lacking(e: UnicodeEncodeError) -> tuple[str, int]:
+        t[e.start : e.end] = False
+        return "", e.end
+
+    codecs.register_error("tidemark-lacking", lacking)
+    "".join(map(chr, range(0x10000))).encode(codec, "tidemark-lacking")
+    t[LOST] = True
+    return t
 
 
 class CleanModel:
@@ -285,12 +301,15 @@ class Labeller:
         found: list[list] = [[] for _ in stretches]
         # ASCII beside them is the same in all of these encodings and says nothing for or against.
         plain = [len(s.encode("ascii", "ignore")) for s in stretches]
-        first, joined = 1 + len(PAIRS) - len(WIDE_READ), "\n".join(stretches)
+        first = 1 + len(PAIRS) - len(WIDE_READ)
+        codes, ends = codes_of(stretches), np.cumsum([len(s) + 1 for s in stretches])
         for k, (_, read) in enumerate(WIDE_READ):
-            raw = joined.encode(read, _LOST_HANDLER)
-            # A line end is no part of a character in any of them; '?', which no stretch has, marks what can't be encoded.
-            for n, restored in enumerate(raw.decode("utf-8", "replace").split("\n")):
-                if 2 * restored.count("\ufffd") <= len(restored) - plain[n] and "?" not in restored:
+            strange = np.append(0, np.cumsum(~_encodable(read)[codes]))[np.append(0, ends)]
+            some = np.flatnonzero(strange[1:] == strange[:-1]).tolist()
+            # A line end is no part of a character in any of them.
+            raw = "\n".join([stretches[n] for n in some]).encode(read, _LOST_HANDLER)
+            for n, restored in zip(some, raw.decode("utf-8", "replace").split("\n")):
+                if 2 * restored.count("\ufffd") <= len(restored) - plain[n]:
                     found[n].append((first + k, self._score_text(restored), restored))
         for s, out in zip(stretches, found):
             self._remember(s, out)
