@@ -84,4 +84,9 @@ def store_url(config: Config) -> str:
         return f"gs://{s['bucket']}/{s.get('prefix', '')}".rstrip("/")
     import tempfile
 
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not spark.sparkContext.master.startswith("local"):
+        raise ConfigError("A store in memory is for local sessions; executors elsewhere could not see it")
     return "file://" + tempfile.mkdtemp(prefix="tidemark-memory-")

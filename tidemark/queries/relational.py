@@ -224,3 +224,20 @@ add("fn_embedding_distance", "SELECT vec_id, round(array_distance(embedding, emb
 # Each vector against the first one, not itself; squares are taken in the vectors' own type on both engines.
 add("fn_embedding_distance_first", "SELECT e.vec_id, round(array_distance(e.embedding, q.embedding), 6) AS d FROM embeddings AS e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) AS q",
     "SELECT e.vec_id, round(sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST((x[1] - x[2]) * (x[1] - x[2]) AS DOUBLE)))), 6) AS d FROM embeddings AS e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) AS q")
+
+# -- further functions, against exact values --------------------------------------------------------------------------
+
+add("approx_distinct_by_type", "SELECT event_type, count(DISTINCT user_id) AS users, abs(approx_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS near FROM events GROUP BY event_type", "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type")
+add("approx_percentile_by_flag", "SELECT l_returnflag, median(l_quantity) AS middle, abs(approx_median(l_quantity) - median(l_quantity)) <= 1 AS near, abs(approx_percentile_cont(l_quantity, 0.9) - percentile(l_quantity, 0.9)) <= 1 AS high FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, median(l_quantity) AS middle, true AS near, true AS high FROM lineitem GROUP BY l_returnflag")
+add("fn_math_more", "SELECT l_orderkey, l_linenumber, round(acos(l_tax), 6) AS a, round(asin(l_tax), 6) AS b, round(atan(l_tax), 6) AS c, round(cos(l_quantity), 6) AS d, round(cosh(l_tax), 6) AS e, round(cot(l_quantity), 6) AS f, round(exp(l_tax), 6) AS g, round(pi(), 6) AS h, round(sin(l_quantity), 6) AS i, round(tan(l_tax), 6) AS j, round(tanh(l_tax), 6) AS k, round(asinh(l_tax), 6) AS l, round(atanh(l_tax), 6) AS m, round(acosh(l_quantity), 6) AS n, isnan(l_tax) AS o, nanvl(l_tax, 1.0) AS p, round(l_extendedprice, 1) AS q, iszero(l_tax) AS r FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, round(acos(l_tax), 6) AS a, round(asin(l_tax), 6) AS b, round(atan(l_tax), 6) AS c, round(cos(l_quantity), 6) AS d, round(cosh(l_tax), 6) AS e, round(cot(l_quantity), 6) AS f, round(exp(l_tax), 6) AS g, round(pi(), 6) AS h, round(sin(l_quantity), 6) AS i, round(tan(l_tax), 6) AS j, round(tanh(l_tax), 6) AS k, round(asinh(l_tax), 6) AS l, round(atanh(l_tax), 6) AS m, round(acosh(l_quantity), 6) AS n, isnan(l_tax) AS o, l_tax AS p, round(l_extendedprice, 1) AS q, l_tax = 0 AS r FROM lineitem")
+add("fn_string_more", "SELECT c_custkey, btrim(c_name, 'C0') AS a, ltrim(c_name, 'C') AS b, rtrim(c_name, '0123456789') AS c, chr(65 + c_nationkey) AS d, bit_length(c_name) AS e, octet_length(c_name) AS f, char_length(c_name) AS g, ends_with(c_name, '1') AS h, contains(c_name, '00') AS i, instr(c_name, '#') AS j, substr_index(c_name, '#', 1) AS k, find_in_set(c_mktsegment, 'BUILDING,MACHINERY') AS l, position('o' IN c_name) AS m FROM customer",
+    "SELECT c_custkey, trim(c_name, 'C0') AS a, ltrim(c_name, 'C') AS b, rtrim(c_name, '0123456789') AS c, chr(65 + c_nationkey) AS d, CAST(bit_length(c_name) AS INT) AS e, CAST(strlen(c_name) AS INT) AS f, CAST(length(c_name) AS INT) AS g, ends_with(c_name, '1') AS h, contains(c_name, '00') AS i, CAST(instr(c_name, '#') AS INT) AS j, split_part(c_name, '#', 1) AS k, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS l, CAST(position('o' IN c_name) AS INT) AS m FROM customer")
+add("fn_hash_sizes", "SELECT c_custkey, length(encode(sha224(c_name), 'hex')) AS a, length(encode(sha384(c_name), 'hex')) AS b, length(encode(sha512(c_name), 'hex')) AS c, encode(digest(c_name, 'md5'), 'hex') AS d, CAST(decode(encode(CAST(c_name AS BYTEA), 'hex'), 'hex') AS TEXT) AS e FROM customer",
+    "SELECT c_custkey, 56 AS a, 96 AS b, 128 AS c, md5(c_name) AS d, c_name AS e FROM customer")
+add("fn_regex_match", "SELECT p_partkey, regexp_match(p_type, '^([A-Z]+) ')[1] AS a, regexp_like(p_name, 'RED', 'i') AS b FROM part", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^([A-Z]+) ') THEN regexp_extract(p_type, '^([A-Z]+) ', 1) END AS a, regexp_matches(p_name, '(?i)RED') AS b FROM part")
+add("fn_date_construction", "SELECT o_orderkey, to_date('2024-02-03') AS a, make_date(2024, 2, CAST(o_orderkey % 28 AS INT) + 1) AS b, to_timestamp('2024-02-03 04:05:06') AS c, date_format(o_orderdate, '%d.%m.%y') AS d, CAST(date_part('dow', o_orderdate) AS INT) AS e FROM orders",
+    "SELECT o_orderkey, DATE '2024-02-03' AS a, make_date(2024, 2, CAST(o_orderkey % 28 AS INT) + 1) AS b, TIMESTAMP '2024-02-03 04:05:06' AS c, strftime(o_orderdate, '%d.%m.%y') AS d, CAST(date_part('dow', o_orderdate) AS INT) AS e FROM orders")
+add("fn_array_more", "SELECT n_nationkey, array_element([1, n_nationkey], 2) AS a, array_positions([1, 2, 1], 1) AS b, array_replace_all([1, 2, 1], 1, 9) AS c, array_replace_n([1, 1, 1], 1, 9, 2) AS d, array_remove_n([1, 2, 1, 1], 1, 2) AS e, array_resize([1, 2], 3, 0) AS f, array_any_value([NULL, n_regionkey]) AS g, array_pop_front([1, 2]) AS h, array_except([1, 2, 3], [2]) AS i, array_intersect([1, 2], [2, 3]) AS j, array_union([1, 2], [2, 3]) AS k, array_max([1, n_nationkey]) AS l, flatten([[1], [2, 3]]) AS m, empty(array_remove_all([1], 1)) AS n, array_dims([1, 2]) AS o, cardinality([1, 2]) AS p FROM nation",
+    "SELECT n_nationkey, n_nationkey AS a, [1, 3] AS b, [9, 2, 9] AS c, [9, 9, 1] AS d, [2, 1] AS e, [1, 2, 0] AS f, n_regionkey AS g, [2] AS h, [1, 3] AS i, [2] AS j, [1, 2, 3] AS k, greatest(1, n_nationkey) AS l, [1, 2, 3] AS m, true AS n, [2] AS o, 2 AS p FROM nation")
+add("fn_types_and_maps", "SELECT r_regionkey, arrow_cast(r_regionkey, 'Int64') AS a, arrow_typeof(r_name) AS b, map_extract(make_map(r_name, r_regionkey), r_name)[1] AS c, nvl(NULL, r_name) AS d FROM region", "SELECT r_regionkey, CAST(r_regionkey AS BIGINT) AS a, 'string' AS b, r_regionkey AS c, r_name AS d FROM region")
